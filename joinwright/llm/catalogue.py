@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from joinwright.llm import near_dedup, quality_rules
+from joinwright.llm import decontamination, near_dedup, piece_lattice, quality_rules, suffix_dedup, token_counts
 
 
 def queries() -> dict:
     return {
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_decontamination": decontamination.op4_decontamination,
+        "op7_token_counts": token_counts.op7_token_counts,
         "op9_near_dedup": near_dedup.op9_near_dedup,
+        "op10_piece_lattice": piece_lattice.op10_piece_lattice,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_suffix_dedup": suffix_dedup.ORACLE,
         "op3_quality_rules": quality_rules.ORACLE,
         "op9_near_dedup": near_dedup.ORACLE,
     }

@@ -62,7 +62,7 @@ class Pieces:
     def __init__(self, items: list[tuple[str, int, float]], byte_ids: list[int], n_ids: int):
         self.byte_ids = byte_ids
         # runs of space marks have a score far outside the trained range
-        self.unknown = min((s for t, _, s in items if t.strip(MARK)), default=0.0) - PENALTY
+        self.unknown = min((s for _, _, s in items if s > -1e8), default=0.0) - PENALTY
         self.root: tuple = ({}, None, 0.0)
         self.surface: list[bytes] = [b""] * n_ids
         found: dict[str, tuple[int, float]] = {}

@@ -4,8 +4,8 @@ Every word is read as its head and its tail (first four and last three bytes,
 hashed to ``VOCABULARY`` entries), so words never met before have vectors too.
 Each entry owns a sparse random index vector; its word vector is the sum of the
 index vectors around all its occurrences in the *whole* corpus, damped and
-normalised.  A document is the mean vector of its heads, that of its tails, and
-their lengths; a two-layer numpy network trained on a bounded sample of
+normalised.  A document is the mean vector of its heads, that of its tails, their
+lengths, and the mean similarity of neighbouring words' vectors; a two-layer numpy network trained on a bounded sample of
 labelled rows scores it, and a temperature fitted on a part of the sample that
 the network has not seen calibrates the probabilities.
 
@@ -110,14 +110,18 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """A row for each text: mean head vector, mean tail vector, their lengths, log of the word count."""
+    """A row for each text: mean head vector, mean tail vector, their lengths, mean similarity of neighbours, log of the word count."""
     words = Words(texts)
-    out = np.zeros((len(texts), 2 * DIMENSIONS + 3), np.float32)
+    out = np.zeros((len(texts), 2 * DIMENSIONS + 5), np.float32)
     filled = np.flatnonzero(words.counts)
     if len(filled):
         at, n = words.first[:-1][filled], words.counts[filled][:, None]
         for side, entry in enumerate(entries(words)):
-            mean = np.add.reduceat(vectors[entry], at, axis=0) / n
+            found = vectors[entry]
+            mean = np.add.reduceat(found, at, axis=0) / n
+            near = np.einsum("ij,ij->i", found, np.roll(found, -1, axis=0))
+            near[words.first[1:][filled] - 1] = 0
+            out[filled, 2 * DIMENSIONS + 2 + side] = np.add.reduceat(near, at) / n[:, 0]
             out[filled, side * DIMENSIONS : (side + 1) * DIMENSIONS] = mean
             out[filled, 2 * DIMENSIONS + side] = np.linalg.norm(mean, axis=1)
     out[:, -1] = np.log1p(words.counts) / 10

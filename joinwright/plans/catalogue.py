@@ -2,10 +2,227 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from joinwright.functions.columns import money_sum
+from joinwright.operators.bands import band_join
+from joinwright.operators.joins import join, left_where_missing, not_in
+from joinwright.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+MINUTE = 60_000_000
+STRATEGIES = ("hash", "merge", "nestloop")
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str, strategies=("auto",), name: str | None = None):
+    """Registers ``f(tables, strategy)`` under its name, and once more for each strategy other than auto."""
+
+    def register(f):
+        for s in strategies:
+            key = (name or f.__name__) + ("" if s == "auto" else f"_{s}")
+            _QUERIES[key] = lambda spark, sf_dir, s=s: f(lambda t: table(spark, sf_dir, t), s)
+            _SQL[key] = sql
+        return f
+
+    return register
+
+
+ALL = ("auto", *STRATEGIES)
+
+
+@_query("select c.c_mktsegment, count(*) n, cast(sum(cast(o.o_totalprice as decimal(18,2))) as double) s from orders o join customer c on o.o_custkey=c.c_custkey group by c.c_mktsegment", ALL)
+def inner_int8(t, s):
+    found = join(t("orders"), t("customer"), [("o_custkey", "c_custkey")], strategy=s)
+    return found.groupBy("c_mktsegment").agg(F.count("*").alias("n"), money_sum("o_totalprice").alias("s"))
+
+
+@_query("select c.c_custkey, n.n_name from customer c join nation n on c.c_nationkey=n.n_nationkey", ALL)
+def inner_int4(t, s):
+    return join(t("customer"), t("nation"), [("c_nationkey", "n_nationkey")], strategy=s).select("c_custkey", "n_name")
+
+
+def _dates(df, name):
+    """Row counts by value: a many-to-many join of counts needs no fan-out."""
+    return df.groupBy(name).agg(F.count("*").alias(f"n_{name}"))
+
+
+@_query("select o.o_orderdate, count(*) n from orders o join lineitem l on o.o_orderdate=l.l_shipdate group by o.o_orderdate", ("auto", "hash", "merge"))
+def inner_ts(t, s):
+    found = join(_dates(t("orders"), "o_orderdate"), _dates(t("lineitem"), "l_shipdate"), [("o_orderdate", "l_shipdate")], strategy=s)
+    return found.select("o_orderdate", (F.col("n_o_orderdate") * F.col("n_l_shipdate")).alias("n"))
+
+
+@_query("select cast(o.o_orderdate as date) d, count(*) n from orders o join lineitem l on cast(o.o_orderdate as date)=cast(l.l_shipdate as date) and o.o_orderkey=l.l_orderkey group by cast(o.o_orderdate as date)", ("auto", "hash", "merge"))
+def inner_date(t, s):
+    found = join(t("orders"), t("lineitem"), [("cast(o_orderdate as date)", "cast(l_shipdate as date)"), ("o_orderkey", "l_orderkey")], strategy=s)
+    return found.groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.count("*").alias("n"))
+
+
+@_query("select p.p_size, count(*) n from part p join lineitem l on cast(p.p_size as double)=l.l_quantity and p.p_partkey=l.l_partkey group by p.p_size", ("auto", "hash", "merge"))
+def inner_float8(t, s):
+    found = join(t("part"), t("lineitem"), [("cast(p_size as double)", "l_quantity"), ("p_partkey", "l_partkey")], strategy=s)
+    return found.groupBy("p_size").agg(F.count("*").alias("n"))
+
+
+@_query("select count(*) n from lineitem a join lineitem b on a.l_partkey=b.l_partkey and a.l_suppkey=b.l_suppkey and a.l_shipdate<b.l_shipdate", ("auto", "hash", "merge"))
+def multikey_residual(t, s):
+    found = join(t("lineitem"), t("lineitem"), ["l_partkey", "l_suppkey"], residual="l.l_shipdate < r.l_shipdate", strategy=s)
+    return found.agg(F.count("*").alias("n"))
+
+
+_NINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+
+
+@_query("select count(*) n from lineitem a join lineitem b on " + " and ".join(f"a.{c}=b.{c}" for c in _NINE), ("auto", "hash", "merge"))
+def keys9(t, s):
+    return join(t("lineitem"), t("lineitem"), _NINE, strategy=s).agg(F.count("*").alias("n"))
+
+
+@_query("select s.s_suppkey, n.n_name from nation n join supplier s on n.n_nationkey=s.s_suppkey", ALL)
+def mixed_width(t, s):
+    return join(t("nation"), t("supplier"), [("n_nationkey", "s_suppkey")], strategy=s).select("s_suppkey", "n_name")
+
+
+@_query("select o.o_orderkey, c.c_name from orders o join customer c on o.o_custkey=c.c_custkey where c.c_custkey<=1", ALL)
+def zero_key(t, s):
+    return join(t("orders"), t("customer").where("c_custkey <= 1"), [("o_custkey", "c_custkey")], strategy=s).select("o_orderkey", "c_name")
+
+
+@_query("select count(*) n from (select case when o_orderkey%3=0 then null else o_custkey end k from orders) o join (select case when c_custkey%5=0 then null else c_custkey end k from customer) c on o.k=c.k", ALL)
+def null_keys(t, s):
+    o = t("orders").selectExpr("case when o_orderkey%3=0 then null else o_custkey end k")
+    c = t("customer").selectExpr("case when c_custkey%5=0 then null else c_custkey end k")
+    return join(o, c, "k", strategy=s).agg(F.count("*").alias("n"))
+
+
+@_query("select o.o_custkey, count(*) n from orders o join orders p on o.o_custkey=p.o_custkey group by o.o_custkey", ("auto", "hash", "merge"))
+def m2m(t, s):
+    return join(t("orders").select("o_custkey"), t("orders").select(F.col("o_custkey").alias("k")), [("o_custkey", "k")], strategy=s).groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+def _theta(name, left, a, op, b, right, key):
+    # widening to the other side's type, counts by key
+    @_query(f"select l.{key}, count(*) n from {left} l join {right} r on l.{a}{op}r.{b} group by l.{key}", name=name)
+    def query(t, s):
+        return join(t(left).select(*{key, a}), t(right).select(b), [(a, op, b)], strategy=s).groupBy(f"l.{key}").agg(F.count("*").alias("n"))
+
+
+_theta("lt_f8", "supplier", "s_acctbal", "<", "c_acctbal", "customer", "s_suppkey")
+_theta("le_i4", "nation", "n_nationkey", "<=", "p_size", "part", "n_nationkey")
+_theta("ge_i8", "supplier", "s_suppkey", ">=", "c_custkey", "customer", "s_suppkey")
+_theta("gt_i4", "nation", "n_nationkey", ">", "p_size", "part", "n_nationkey")
+_theta("ne_i4", "nation", "n_nationkey", "<>", "s_nationkey", "supplier", "n_nationkey")
+
+
+@_query("select e.event_id, f.event_id fid from events e join events f on f.ts>e.ts and f.ts<=e.ts + interval 1 minute", ("auto", "hash", "merge"))
+def theta_multi(t, s):
+    e = t("events").select("event_id", "ts")
+    f = e.select(F.col("event_id").alias("fid"), F.col("ts").alias("fts"))
+    return band_join(e, f, "ts", "fts", 0, MINUTE, include_low=False, strategy=s).select("event_id", "fid")
+
+
+@_query("select count(*) n from supplier s join nation n on s.s_suppkey % 7 = n.n_nationkey % 7", ALL)
+def theta_expr(t, s):
+    return join(t("supplier"), t("nation"), [("s_suppkey % 7", "n_nationkey % 7")], strategy=s).agg(F.count("*").alias("n"))
+
+
+@_query("select r.r_name, n.n_name from region r cross join nation n")
+def cross(t, s):
+    return join(t("region"), t("nation"), how="cross").select("r_name", "n_name")
+
+
+@_query("select c.c_custkey, c.c_name from customer c left join orders o on c.c_custkey=o.o_custkey", ALL)
+def left_safe(t, s):
+    return join(t("customer"), t("orders"), [("c_custkey", "o_custkey")], "left", s).select("c_custkey", "c_name")
+
+
+@_query("select c.c_custkey, o.o_orderkey from customer c left join orders o on c.c_custkey=o.o_custkey and o.o_orderstatus='F'", ALL)
+def left_project_inner(t, s):
+    return join(t("customer"), t("orders"), [("c_custkey", "o_custkey")], "left", s, residual="r.o_orderstatus = 'F'").select("c_custkey", "o_orderkey")
+
+
+@_query("select c.c_custkey from customer c left join (select * from orders where o_totalprice>400000) o on c.c_custkey=o.o_custkey where o.o_custkey is null", ("auto", "hash", "merge"))
+def left_is_null(t, s):
+    return left_where_missing(t("customer"), t("orders").where("o_totalprice > 400000"), [("c_custkey", "o_custkey")], "o_custkey", strategy=s).select("c_custkey")
+
+
+@_query("select c.c_custkey, o.o_orderkey from customer c left join nation n on c.c_nationkey>n.n_nationkey and n.n_nationkey<2 left join orders o on c.c_custkey=o.o_custkey and o.o_totalprice>450000")
+def left_theta(t, s):
+    found = join(t("customer"), t("nation"), [("c_nationkey", ">", "n_nationkey")], "left", s, residual="r.n_nationkey < 2").select("c_custkey")
+    return join(found, t("orders"), [("c_custkey", "o_custkey")], "left", residual="r.o_totalprice > 450000").select("c_custkey", "o_orderkey")
+
+
+@_query("select o.o_orderkey, c.c_custkey from orders o right join customer c on o.o_custkey=c.c_custkey", ALL)
+def right_join(t, s):
+    return join(t("orders"), t("customer"), [("o_custkey", "c_custkey")], "right", s).select("o_orderkey", "c_custkey")
+
+
+@_query("select d.doc_id, l.doc_id ldoc, l.quality from (select * from documents where doc_id%2=0) d full join labels l on d.doc_id=l.doc_id", ALL)
+def full_join(t, s):
+    found = join(t("documents").select("doc_id").where("doc_id % 2 = 0"), t("labels"), "doc_id", "full", s)
+    return found.select("l.doc_id", F.col("r.doc_id").alias("ldoc"), "quality")
+
+
+@_query("select c.c_custkey from customer c where exists (select 1 from orders o where o.o_custkey=c.c_custkey and o.o_totalprice>400000)", ALL)
+def semi(t, s):
+    return join(t("customer"), t("orders").where("o_totalprice > 400000"), [("c_custkey", "o_custkey")], "left_semi", s).select("c_custkey")
+
+
+@_query("select c.c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey=c.c_custkey and o.o_totalprice>400000)", ALL)
+def anti(t, s):
+    return join(t("customer"), t("orders").where("o_totalprice > 400000"), [("c_custkey", "o_custkey")], "left_anti", s).select("c_custkey")
+
+
+@_query("select count(*) n from customer where c_custkey not in (select case when o_orderkey=0 then null else o_custkey end from orders)")
+def not_in_null(t, s):
+    right = t("orders").selectExpr("case when o_orderkey=0 then null else o_custkey end k")
+    return not_in(t("customer"), right, "c_custkey", "k").agg(F.count("*").alias("n"))
+
+
+@_query("select count(*) n from customer where c_custkey not in (select o_custkey from orders where o_totalprice>400000)")
+def not_in_plain(t, s):
+    return not_in(t("customer"), t("orders").where("o_totalprice > 400000"), "c_custkey", "o_custkey").agg(F.count("*").alias("n"))
+
+
+@_query("select p.p_brand, count(*) n from part p join (select distinct p_brand from part where p_size>25) q on p.p_brand=q.p_brand group by p.p_brand", ALL)
+def text_key(t, s):
+    return join(t("part"), t("part").where("p_size > 25").select("p_brand").distinct(), "p_brand", strategy=s).groupBy("l.p_brand").agg(F.count("*").alias("n"))
+
+
+@_query("select count(*) n from (select case when c_custkey%2=0 then null else c_nationkey end k from customer) c join nation n on c.k is not distinct from n.n_nationkey", ("auto", "hash", "merge"))
+def nullsafe(t, s):
+    left = t("customer").selectExpr("case when c_custkey%2=0 then null else c_nationkey end k")
+    return join(left, t("nation"), [("k", "<=>", "n_nationkey")], strategy=s).agg(F.count("*").alias("n"))
+
+
+@_query("select e.event_id, o.o_orderkey from (select * from events where event_id<0) e join orders o on e.user_id=o.o_custkey", ALL)
+def empty(t, s):
+    return join(t("events").where("event_id < 0"), t("orders"), [("user_id", "o_custkey")], strategy=s).select("event_id", "o_orderkey")
+
+
+@_query("select e.event_id, n.n_nationkey from (select * from events where event_id<0) e full join nation n on e.user_id=n.n_nationkey", ("auto", "hash", "merge"))
+def empty_full(t, s):
+    return join(t("events").where("event_id < 0"), t("nation"), [("user_id", "n_nationkey")], "full", s).select("event_id", "n_nationkey")
+
+
+@_query("select r.r_name, count(*) n, cast(sum(cast(l.l_extendedprice as decimal(18,2))) as double) rev from lineitem l join orders o on l.l_orderkey=o.o_orderkey join customer c on o.o_custkey=c.c_custkey join nation n on c.c_nationkey=n.n_nationkey join region r on n.n_regionkey=r.r_regionkey group by r.r_name", ("auto", "merge"))
+def star5(t, s):
+    found = join(t("lineitem").select("l_orderkey", "l_extendedprice"), t("orders").select("o_orderkey", "o_custkey"), [("l_orderkey", "o_orderkey")], strategy=s)
+    for name, a, b in (("customer", "o_custkey", "c_custkey"), ("nation", "c_nationkey", "n_nationkey"), ("region", "n_regionkey", "r_regionkey")):
+        found = join(found, t(name), [(a, b)], strategy=s)
+    return found.groupBy("r_name").agg(F.count("*").alias("n"), money_sum("l_extendedprice").alias("rev"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -13,12 +13,12 @@ def enrich(stream: DataFrame, static: DataFrame, on, how: str = "inner") -> Data
     return stream.join(static, on, how)
 
 
-def band_join_streams(left: DataFrame, right: DataFrame, left_time: str, right_time: str, high: str, delay: str) -> DataFrame:
-    """Pairs with ``left_time < right_time <= left_time + high``.
+def band_join_streams(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_time: str, right_time: str, high: str, delay: str) -> DataFrame:
+    """Pairs with equal keys and ``left_time < right_time <= left_time + high``.
 
     Both sides carry a watermark of ``delay``, so their state is dropped once no
     partner can arrive.
     """
     l = left.withWatermark(left_time, delay).alias("l")
     r = right.withWatermark(right_time, delay).alias("r")
-    return l.join(r, F.expr(f"r.{right_time} > l.{left_time} AND r.{right_time} <= l.{left_time} + INTERVAL {high}"))
+    return l.join(r, F.expr(f"l.{left_key} = r.{right_key} AND r.{right_time} > l.{left_time} AND r.{right_time} <= l.{left_time} + INTERVAL {high}"))

@@ -4,7 +4,7 @@ import math
 import random
 
 import pytest
-from conftest import rows
+from checks import rows
 
 from joinwright.config import JoinConfig, loaded
 from joinwright.functions.columns import int_div, nulls_last

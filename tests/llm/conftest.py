@@ -1,7 +1,6 @@
 import pytest
-from pyspark.sql import types as T
 
-DOCS = T.StructType.fromDDL("doc_id bigint, text string, lang string, source string, n_chars bigint")
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
 @pytest.fixture

@@ -4,7 +4,7 @@ import random
 import re
 
 import numpy as np
-from conftest import rows, same
+from checks import rows, same
 
 from joinwright.llm import near_dedup, quality_rules, suffix_dedup
 from joinwright.llm.components import components

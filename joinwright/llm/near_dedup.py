@@ -181,17 +181,19 @@ def _star_pairs(members: DataFrame, threshold: float) -> DataFrame:
 def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs of a bucket in different components whose odd sketches agree.
 
-    ``members(bucket, doc_id, component, sketch, samples)``.  A bucket is dealt
-    to blocks; each task holds two blocks of it at most.
+    ``members(bucket, doc_id, component, sketch, samples, bands)``.  A bucket is
+    dealt to blocks; each task holds two blocks of it at most.  A pair that
+    shares several buckets is given by that of its first shared band alone.
     """
     blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
     dealt = members.join(blocks, "bucket").withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "sketch", "samples")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "sketch", "samples", "bands")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         ids, n, own, lanes = group["doc_id"].to_numpy(), group["samples"].to_numpy(), group["own"].to_numpy(), _lanes(group["sketch"])
+        bucket, bands = group["bucket"].iat[0], np.stack(group["bands"].to_numpy())
         _, part, sizes = np.unique(group["component"].to_numpy(), return_inverse=True, return_counts=True)
         block = np.where(own == own.max(), 1, 0) if own.max() != own.min() else None
         # pairs inside the largest component need no look; every other pair has a member outside it
@@ -207,7 +209,9 @@ def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
                 open_ &= block[x, None] != block
             i, j = np.nonzero(open_)
             i = x[i]
-            hit = similar(lanes[i], n[i], lanes[j], n[j]) >= threshold - SLACK
+            hit = np.flatnonzero(similar(lanes[i], n[i], lanes[j], n[j]) >= threshold - SLACK)
+            shared = bands[i[hit]] == bands[j[hit]]
+            hit = hit[bands[i[hit], shared.argmax(axis=1)] == bucket]
             a.append(np.maximum(ids[i[hit]], ids[j[hit]]))
             b.append(np.minimum(ids[i[hit]], ids[j[hit]]))
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)} if a else {"a": [], "b": []}, dtype="int64")
@@ -238,10 +242,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slots = checkpoint(banded.join(shared, "bucket", "left_semi"))
     wanted = slots.select("doc_id").distinct()
     # where an id comes with several texts, each text is compared
-    sketches = checkpoint(reps.select("doc_id", "sketch", "samples").join(wanted, "doc_id", "left_semi"))
+    sketches = checkpoint(reps.select("doc_id", "sketch", "samples", "bands").join(wanted, "doc_id", "left_semi"))
     sets = checkpoint(_sets(docs.join(wanted, "doc_id", "left_semi"), shingle, fold_case).distinct())
 
-    members = slots.join(sketches, "doc_id")
+    members = slots.join(sketches.drop("bands"), "doc_id")
     links = checkpoint(_confirm(_star_pairs(members, threshold), sets, percent))
     part = components(links)
 

@@ -44,8 +44,8 @@ from joinwright.llm.textcore import ASCII_LOWER, IDENTITY, Words, byte_texts, mi
 ROWS = 4
 BINS = 1024
 SKETCH_BITS = 2048
-#: The sketch estimate may be this much under the threshold; about five standard deviations.
-SLACK = 0.06
+#: The sketch estimate may be this many standard deviations under the threshold.
+DEVIATIONS = 5.0
 #: Members of an unresolved bucket compared in one task.
 BLOCK = 1024
 
@@ -109,13 +109,43 @@ class Signer:
         return np.packbits(odd).tobytes(), len(samples)
 
 
-def similar(one: np.ndarray, n_one: np.ndarray, many: np.ndarray, n_many: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity from odd sketches (uint64 lanes) and sample counts."""
+def similar(one: np.ndarray, samples_one, size_one, many: np.ndarray, samples_many, size_many) -> np.ndarray:
+    """Estimated Jaccard similarity from odd sketches (uint64 lanes), sample counts and set sizes.
+
+    The bitmaps give the number of differing samples, so the number of bins with
+    equal minima.  A differing sample meets one of the other set in its bin as
+    often as that set fills bins; two that meet are one unequal bin.
+    """
     z = np.bitwise_count(one ^ many).sum(axis=-1, dtype=np.int64)
-    ratio = np.minimum(2.0 * z / SKETCH_BITS, 1 - 1e-9)
-    differ = -SKETCH_BITS / 2 * np.log1p(-ratio)
-    total = n_one + n_many
-    return np.clip((total - differ) / (total + differ), 0, 1)
+    differ = -SKETCH_BITS / 2 * np.log1p(-np.minimum(2.0 * z / SKETCH_BITS, 1 - 1e-9))
+    equal = np.maximum(samples_one + samples_many - differ, 0) / 2
+    meet = -np.expm1(-(size_one + size_many) / (2 * BINS))
+    return np.clip(equal / np.maximum(equal + differ * (1 - meet / 2), 1e-9), 0, 1)
+
+
+def _filled(sizes, similarity) -> np.ndarray:
+    """Expected number of bins that the union of two sets fills."""
+    return BINS * -np.expm1(-sizes / ((1 + similarity) * BINS))
+
+
+def slack(sizes, threshold: float) -> np.ndarray:
+    """DEVIATIONS standard deviations of the estimate at the threshold, for sets of these sizes together.
+
+    One part comes from the choice of minima among the union's shingles, the
+    other from samples that fall on the same bit.
+    """
+    union = sizes / (1 + threshold)
+    filled = _filled(sizes, threshold)
+    minima = threshold * (1 - threshold) / filled * np.maximum(1 - filled / union, 0)
+    m, n = 2 * (1 - threshold) * filled, SKETCH_BITS
+    odd = n / 4 * (1 - (1 - 2 / n) ** (2 * m)) + n * (n - 1) / 4 * ((1 - 4 / n) ** m - (1 - 2 / n) ** (2 * m))
+    bits = np.maximum(odd, 0) / np.exp(-4 * m / n) / (2 * filled) ** 2
+    return DEVIATIONS * np.sqrt(minima + bits) + 0.5 / filled
+
+
+def may_link(one, samples_one, size_one, many, samples_many, size_many, threshold: float) -> np.ndarray:
+    """Whether the odd sketches leave a pair a chance to reach the threshold."""
+    return similar(one, samples_one, size_one, many, samples_many, size_many) >= threshold - slack(size_one + size_many, threshold)
 
 
 def _signatures(docs: DataFrame, size: int, fold_case: bool, signer: Signer) -> DataFrame:
@@ -170,18 +200,22 @@ def _star_pairs(members: DataFrame, threshold: float) -> DataFrame:
     The smallest id is the hub that most buckets of a group share; the other hub
     is drawn by bucket, so a large group is joined through many of its members.
     """
-    sketch = F.struct("doc_id", "sketch", "samples")
+    sketch = F.struct("doc_id", "sketch", "samples", "n_shingles")
     hubs = members.groupBy("bucket").agg(F.min(sketch).alias("least"), F.min_by(sketch, F.xxhash64("doc_id", "bucket")).alias("drawn"))
     pairs = members.join(hubs, "bucket").withColumn("hub", F.explode(F.array_distinct(F.array("least", "drawn")))).where("doc_id <> hub.doc_id")
-    agree = F.pandas_udf(lambda s, n, t, m: pd.Series(similar(_lanes(s), n.to_numpy(), _lanes(t), m.to_numpy()) >= threshold - SLACK), "boolean")
-    kept = pairs.where(agree("sketch", "samples", "hub.sketch", "hub.samples"))
+
+    def agree(s, m, n, hub_s, hub_m, hub_n):
+        return pd.Series(may_link(_lanes(s), m.to_numpy(), n.to_numpy(), _lanes(hub_s), hub_m.to_numpy(), hub_n.to_numpy(), threshold))
+
+    agrees = F.pandas_udf(agree, "boolean")
+    kept = pairs.where(agrees("sketch", "samples", "n_shingles", "hub.sketch", "hub.samples", "hub.n_shingles"))
     return kept.select(F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b")).distinct()
 
 
 def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs of a bucket in different components whose odd sketches agree.
 
-    ``members(bucket, doc_id, component, sketch, samples, bands)``.  A bucket is
+    ``members(bucket, doc_id, component, sketch, samples, n_shingles, bands)``.  A bucket is
     dealt to blocks; each task holds two blocks of it at most.  A pair that
     shares several buckets is given by that of its first shared band alone.
     """
@@ -189,10 +223,11 @@ def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
     own = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
     dealt = members.join(blocks, "bucket").withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "sketch", "samples", "bands")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "sketch", "samples", "n_shingles", "bands")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, n, own, lanes = group["doc_id"].to_numpy(), group["samples"].to_numpy(), group["own"].to_numpy(), _lanes(group["sketch"])
+        ids, own, lanes = group["doc_id"].to_numpy(), group["own"].to_numpy(), _lanes(group["sketch"])
+        m, n = group["samples"].to_numpy(), group["n_shingles"].to_numpy()
         bucket, bands = group["bucket"].iat[0], np.stack(group["bands"].to_numpy())
         _, part, sizes = np.unique(group["component"].to_numpy(), return_inverse=True, return_counts=True)
         block = np.where(own == own.max(), 1, 0) if own.max() != own.min() else None
@@ -209,7 +244,7 @@ def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
                 open_ &= block[x, None] != block
             i, j = np.nonzero(open_)
             i = x[i]
-            hit = np.flatnonzero(similar(lanes[i], n[i], lanes[j], n[j]) >= threshold - SLACK)
+            hit = np.flatnonzero(may_link(lanes[i], m[i], n[i], lanes[j], m[j], n[j], threshold))
             shared = bands[i[hit]] == bands[j[hit]]
             hit = hit[bands[i[hit], shared.argmax(axis=1)] == bucket]
             a.append(np.maximum(ids[i[hit]], ids[j[hit]]))
@@ -242,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slots = checkpoint(banded.join(shared, "bucket", "left_semi"))
     wanted = slots.select("doc_id").distinct()
     # where an id comes with several texts, each text is compared
-    sketches = checkpoint(reps.select("doc_id", "sketch", "samples", "bands").join(wanted, "doc_id", "left_semi"))
+    sketches = checkpoint(reps.select("doc_id", "sketch", "samples", "n_shingles", "bands").join(wanted, "doc_id", "left_semi"))
     sets = checkpoint(_sets(docs.join(wanted, "doc_id", "left_semi"), shingle, fold_case).distinct())
 
     members = slots.join(sketches.drop("bands"), "doc_id")

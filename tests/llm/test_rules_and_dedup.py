@@ -141,14 +141,19 @@ def test_blocks_lose_no_pair(make, monkeypatch):
 
 def test_odd_sketch_estimates():
     draw = np.random.default_rng(0)
-    for size in (150, 2000, 20000):
-        a = np.unique(draw.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
-        cut = int(size * 0.92)
-        b = np.unique(np.concatenate([a[draw.permutation(len(a))[:cut]], draw.integers(0, 1 << 63, size - cut, dtype=np.uint64)]))
-        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        (s, n), (t, m) = near_dedup.Signer.odd_sketch(a), near_dedup.Signer.odd_sketch(b)
-        guess = near_dedup.similar(np.frombuffer(s, np.uint64), n, np.frombuffer(t, np.uint64)[None], np.array([m]))[0]
-        assert abs(guess - true) < near_dedup.SLACK
+    for size in (20, 150, 600, 2000, 20000):
+        errors = []
+        for _ in range(60 if size < 5000 else 15):
+            a = np.unique(draw.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+            cut = int(size * 0.92)
+            b = np.unique(np.concatenate([a[draw.permutation(len(a))[:cut]], draw.integers(0, 1 << 63, size - cut, dtype=np.uint64) * np.uint64(2)]))
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            (s, n), (t, m) = near_dedup.Signer.odd_sketch(a), near_dedup.Signer.odd_sketch(b)
+            args = np.frombuffer(s, np.uint64), n, len(a), np.frombuffer(t, np.uint64)[None], np.array([m]), np.array([len(b)])
+            errors.append(near_dedup.similar(*args)[0] - true)
+            assert near_dedup.may_link(*args, true)[0]
+        allowed = near_dedup.slack(2.0 * size, 0.85)
+        assert np.abs(errors).max() < allowed < 0.1 and abs(np.mean(errors)) < allowed / 4, size
 
 
 def test_components(spark):

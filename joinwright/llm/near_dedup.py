@@ -204,7 +204,7 @@ def _star_pairs(members: DataFrame, threshold: float) -> DataFrame:
     hubs = members.groupBy("bucket").agg(F.min(sketch).alias("least"), F.min_by(sketch, F.xxhash64("doc_id", "bucket")).alias("drawn"))
     pairs = members.join(hubs, "bucket").withColumn("hub", F.explode(F.array_distinct(F.array("least", "drawn")))).where("doc_id <> hub.doc_id")
 
-    def agree(s, m, n, hub_s, hub_m, hub_n):
+    def agree(s: pd.Series, m: pd.Series, n: pd.Series, hub_s: pd.Series, hub_m: pd.Series, hub_n: pd.Series) -> pd.Series:
         return pd.Series(may_link(_lanes(s), m.to_numpy(), n.to_numpy(), _lanes(hub_s), hub_m.to_numpy(), hub_n.to_numpy(), threshold))
 
     agrees = F.pandas_udf(agree, "boolean")

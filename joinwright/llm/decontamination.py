@@ -171,8 +171,8 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document text, item and alignment (offset) that share a template window.
 
-    Columns doc_id, print, item_id, offset, n_windows matched, n_covered tokens,
-    n_tokens of the item, n_slots (distinct item values bound), n_rebound
+    Columns doc_id, print, item_id, offset, n_windows matched, covered (positions
+    of the item's tokens), n_tokens of the item, n_slots (distinct item values bound), n_rebound
     (bound to another value), consistent.
     """
     items = checkpoint(_windows(_texts(benchmark, item_col, item_text_col), None, None).distinct())
@@ -190,8 +190,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         )
     )
     key = ["doc_id", "print", "item_id", "item_print", "offset"]
-    covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("k") - 1)))))
-    runs = pairs.groupBy(*key, "n_tokens").agg(F.count("*").alias("n_windows"), covered.alias("n_covered"))
+    covered = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("k") - 1)))))
+    runs = pairs.groupBy(*key, "n_tokens").agg(F.count("*").alias("n_windows"), covered.alias("covered"))
     bound = pairs.select(*key, F.explode("slots").alias("s")).select(*key, F.col("s.item").alias("item"), F.col("s.doc").alias("doc")).distinct()
     bound = bound.groupBy(*key).agg(
         F.countDistinct("item").alias("n_slots"), F.countDistinct("doc").alias("n_values"), F.count("*").alias("n_pairs"),
@@ -199,20 +199,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     )
     out = runs.join(bound, key, "left")
     consistent = F.coalesce((F.col("n_pairs") == F.col("n_slots")) & (F.col("n_pairs") == F.col("n_values")), F.lit(True))
-    return out.select(*key, "n_windows", "n_covered", "n_tokens", F.coalesce("n_slots", F.lit(0)).cast("bigint").alias("n_slots"), F.coalesce("n_rebound", F.lit(0)).cast("bigint").alias("n_rebound"), consistent.alias("consistent"))
+    return out.select(*key, "n_windows", "covered", "n_tokens", F.coalesce("n_slots", F.lit(0)).cast("bigint").alias("n_slots"), F.coalesce("n_rebound", F.lit(0)).cast("bigint").alias("n_rebound"), consistent.alias("consistent"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, **names) -> DataFrame:
     """One row per document and item that it contains: doc_id, item_id, coverage, n_windows, n_slots, n_rebound, kind.
 
     An item counts when consistent alignments, which may be several where words
-    were put in or left out, together cover ``min_coverage`` of its tokens.  kind
-    is ``verbatim`` if no slot has a new value, else ``reparameterised``.
+    were put in or left out, together cover ``min_coverage`` of its tokens; a
+    token that several alignments cover counts once.  kind is ``verbatim``
+    if no slot has a new value, else ``reparameterised``.
     """
     good = matches(docs, benchmark, **names).where("consistent")
-    found = good.groupBy("doc_id", "print", "item_id", "item_print", "n_tokens").agg(F.sum("n_windows").alias("n_windows"), F.sum("n_covered").alias("n_covered"), F.sum("n_slots").alias("n_slots"), F.sum("n_rebound").alias("n_rebound"))
-    coverage = F.least(F.col("n_covered") / F.col("n_tokens"), F.lit(1.0))
-    best = found.withColumn("coverage", coverage).where(F.col("coverage") >= min_coverage)
+    union = F.size(F.array_distinct(F.flatten(F.collect_set("covered"))))
+    found = good.groupBy("doc_id", "print", "item_id", "item_print", "n_tokens").agg(F.sum("n_windows").alias("n_windows"), union.alias("n_covered"), F.sum("n_slots").alias("n_slots"), F.sum("n_rebound").alias("n_rebound"))
+    best = found.withColumn("coverage", F.col("n_covered") / F.col("n_tokens")).where(F.col("coverage") >= min_coverage)
     top = F.max(F.struct("coverage", "n_windows", "n_slots", (-F.col("n_rebound")).alias("less"))).alias("t")
     rows = best.groupBy("doc_id", "item_id").agg(top)
     kind = F.when(F.col("t.less") == 0, F.lit("verbatim")).otherwise(F.lit("reparameterised"))

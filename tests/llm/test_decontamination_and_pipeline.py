@@ -76,6 +76,29 @@ def test_matches_equal_brute_force(spark, sf):
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == want
 
 
+def test_repeated_fragments_count_once(spark, make):
+    draw = random.Random(11)
+    words = prose(draw, 59).split()
+    bench = items(spark, [(1, " ".join(words))])
+    fragment, rest = " ".join(words[20:30]), " ".join(words[35:55])
+    docs = make([(1, " ".join(f"{fragment} {prose(draw, 5)}" for _ in range(3))), (2, f"{fragment} {prose(draw, 5)} {rest}"), (3, f"{fragment} {prose(draw, 3)} " * 40)])
+    assert {(r.doc_id, r.item_id, round(r.coverage, 4)) for r in contaminated(docs, bench).collect()} == {(2, 1, round(30 / 59, 4))}
+    assert {(r.doc_id, round(r.coverage, 4)) for r in contaminated(docs, bench, min_coverage=0.1).collect()} == {(1, round(10 / 59, 4)), (2, round(30 / 59, 4)), (3, round(10 / 59, 4))}
+
+
+def test_matches_equal_brute_force_of_united_tokens(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    sides = {r.item_id: brute_windows(r.text) for r in bench.collect()}
+    want = set()
+    for r in docs.collect():
+        mine = {w for w, _ in brute_windows(r.text)[0]}
+        for item, (windows, n) in sides.items():
+            if len({x for w, i in windows if w in mine for x in range(i, i + 8)}) >= n * decontamination.MIN_COVERAGE:
+                want.add((r.doc_id, item))
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == want
+
+
 def test_pipeline_stages(spark, sf):
     names = spark.read.parquet(f"{sf}/documents.parquet").columns
     docs = spark.read.parquet(f"{sf}/documents.parquet")

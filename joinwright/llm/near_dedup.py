@@ -7,8 +7,9 @@
    samples differ.  Near the threshold few samples differ and the estimate is
    sharp.
 3. Members of a band bucket are paired with the smallest member of their bucket
-   (a star, never all pairs); the odd sketch drops pairs that cannot reach the
-   threshold, and the remaining pairs are confirmed on full shingle sets.
+   (a star, never all pairs); the odd sketch, in small sets a bitmap of all
+   shingles, drops pairs that cannot reach the threshold, and the remaining
+   pairs are confirmed on full shingle sets.
 4. Buckets that the stars have not joined into one component are searched
    block by block: members of *different* components whose odd sketches agree
    are confirmed on full sets too, so no link between components is lost to the
@@ -44,8 +45,11 @@ from joinwright.llm.textcore import ASCII_LOWER, IDENTITY, Words, byte_texts, mi
 ROWS = 4
 BINS = 1024
 SKETCH_BITS = 2048
+LANES = SKETCH_BITS // 64
 #: The sketch estimate may be this many standard deviations under the threshold.
 DEVIATIONS = 5.0
+#: Pairs with this many shingles together, or fewer, are dropped by a bound that no link breaks.
+SMALL = 1024
 #: Members of an unresolved bucket compared in one task.
 BLOCK = 1024
 
@@ -96,17 +100,20 @@ class Signer:
 
     @staticmethod
     def odd_sketch(shingles: np.ndarray) -> tuple[bytes, int]:
-        """Parity bitmap of the one-permutation MinHash samples and the number of samples.
+        """Parity bitmaps of the one-permutation MinHash samples and of all shingles; the number of samples.
 
-        Shingles are sorted, so the first one in each of the BINS equal ranges
-        of the hash space is that bin's minimum.
+        The second is empty for more than SMALL shingles.  Shingles are sorted,
+        so the first one in each of the BINS equal ranges of the hash space is
+        that bin's minimum.
         """
         bins = shingles >> _U(64 - int(math.log2(BINS)))
         first = np.concatenate([[True], bins[1:] != bins[:-1]]) if len(bins) else np.zeros(0, bool)
         samples = shingles[first]
-        bit = (mix(samples) >> _U(64 - int(math.log2(SKETCH_BITS)))).astype(np.int64)
-        odd = (np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)
-        return np.packbits(odd).tobytes(), len(samples)
+        odd = []
+        for x in (samples, shingles if len(shingles) <= SMALL else shingles[:0]):
+            bit = (mix(x) >> _U(64 - int(math.log2(SKETCH_BITS)))).astype(np.int64)
+            odd.append((np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8))
+        return np.packbits(np.concatenate(odd)).tobytes(), len(samples)
 
 
 def similar(one: np.ndarray, samples_one, size_one, many: np.ndarray, samples_many, size_many) -> np.ndarray:
@@ -116,7 +123,7 @@ def similar(one: np.ndarray, samples_one, size_one, many: np.ndarray, samples_ma
     equal minima.  A differing sample meets one of the other set in its bin as
     often as that set fills bins; two that meet are one unequal bin.
     """
-    z = np.bitwise_count(one ^ many).sum(axis=-1, dtype=np.int64)
+    z = np.bitwise_count(one[..., :LANES] ^ many[..., :LANES]).sum(axis=-1, dtype=np.int64)
     differ = -SKETCH_BITS / 2 * np.log1p(-np.minimum(2.0 * z / SKETCH_BITS, 1 - 1e-9))
     equal = np.maximum(samples_one + samples_many - differ, 0) / 2
     meet = -np.expm1(-(size_one + size_many) / (2 * BINS))
@@ -144,8 +151,16 @@ def slack(sizes, threshold: float) -> np.ndarray:
 
 
 def may_link(one, samples_one, size_one, many, samples_many, size_many, threshold: float) -> np.ndarray:
-    """Whether the odd sketches leave a pair a chance to reach the threshold."""
-    return similar(one, samples_one, size_one, many, samples_many, size_many) >= threshold - slack(size_one + size_many, threshold)
+    """Whether the odd sketches leave a pair a chance to reach the threshold.
+
+    In small sets one or two shingles that share a bin move the estimate by more
+    than its slack.  Their second bitmaps hold all shingles, so they differ in no
+    more bits than the sets differ in shingles: a bound that no link breaks.
+    """
+    sizes = size_one + size_many
+    estimate = similar(one, samples_one, size_one, many, samples_many, size_many) >= threshold - slack(sizes, threshold)
+    differ = np.bitwise_count(one[..., LANES:] ^ many[..., LANES:]).sum(axis=-1, dtype=np.int64)
+    return np.where(sizes <= SMALL, differ <= sizes * (1 - threshold) / (1 + threshold) + 1e-6, estimate)
 
 
 def _signatures(docs: DataFrame, size: int, fold_case: bool, signer: Signer) -> DataFrame:
@@ -191,7 +206,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _lanes(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), SKETCH_BITS // 64)
+    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), 2 * LANES)
 
 
 def _star_pairs(members: DataFrame, threshold: float) -> DataFrame:

@@ -156,6 +156,29 @@ def test_odd_sketch_estimates():
         assert np.abs(errors).max() < allowed < 0.1 and abs(np.mean(errors)) < allowed / 4, size
 
 
+def test_small_sets_at_the_threshold_may_link():
+    draw = np.random.default_rng(7)
+
+    def kept(a, b, threshold):
+        (s, n), (t, m) = near_dedup.Signer.odd_sketch(a), near_dedup.Signer.odd_sketch(b)
+        return near_dedup.may_link(np.frombuffer(s, np.uint64), n, len(a), np.frombuffer(t, np.uint64)[None], np.array([m]), np.array([len(b)]), threshold)[0]
+
+    for union, threshold in ((5, 0.8), (20, 0.8), (20, 0.85), (40, 0.85), (100, 0.85), (300, 0.8), (500, 0.85)):
+        alone = round(union * (1 - threshold))
+        for _ in range(2000 if union < 50 else 200):
+            x = np.unique(draw.integers(0, 1 << 64, union, dtype=np.uint64))
+            gone = draw.permutation(len(x))[:alone]
+            cut = draw.integers(0, alone + 1)
+            assert kept(np.delete(x, gone[:cut]), np.delete(x, gone[cut:]), threshold), union
+        # every shingle of one set alone comes before a common one in its bin
+        bins = np.arange(union - alone, dtype=np.uint64) << np.uint64(54)
+        common = bins + np.uint64(1 << 50) + draw.integers(0, 1 << 40, len(bins), dtype=np.uint64)
+        extra = bins[:alone] + draw.integers(0, 1 << 40, alone, dtype=np.uint64)
+        assert kept(np.sort(np.concatenate([common, extra])), common, threshold), union
+    a, b = (np.unique(draw.integers(0, 1 << 64, 200, dtype=np.uint64)) for _ in range(2))
+    assert not kept(a, b, 0.8)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (95, 100), (200, 201), (200, 201), (300, 300)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))

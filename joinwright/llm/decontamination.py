@@ -6,7 +6,8 @@ a number replaced by the placeholders NUMBER, NAME and UNIT.  Digits joined by
 ``.`` or ``,`` are one number and neighbouring names are one name, so a new
 value keeps the shape of the template.  Windows of eight template tokens, at
 least half of them plain words, are hash-joined between documents and benchmark
-items.  Along one alignment of document and item the placeholders of all
+items.  Where an item has fewer plain words in a window, or no more than one
+window, windows of up to eight of its words are matched as they stand.  Along one alignment of document and item the placeholders of all
 matched windows must bind consistently: one item value to one document value and
 back.  An item that matches with other values in its slots is a
 re-parameterised copy.
@@ -16,8 +17,9 @@ benchmark's windows are shuffled; the bitmap's size does not depend on either
 table.  The join that follows is exact.
 
 Edge cases: null or empty texts hold no window and null ids take no part, on
-either side; an item shorter than a window is matched as a whole if it has four
-plain words at least; repeated rows of one id and text count once; empty tables
+either side; an item shorter than a window is matched as a whole, with new values in
+its slots only if it has four plain words at least; an item without any plain
+word is not matched; repeated rows of one id and text count once; empty tables
 give an empty table; other columns are not read.
 """
 
@@ -74,6 +76,8 @@ class Template:
             self.tokens = self.values = np.zeros(0, _U)
             self.plain = np.zeros(0, bool)
             self.first = np.zeros(len(texts) + 1, np.int64)
+            self.words, self.word_first = self.values, self.first
+            self.token_of = self.begin = np.zeros(0, np.int64)
             return
         one, two = raw[starts], raw[np.minimum(starts + 1, len(raw) - 1)]
         long = ends - starts
@@ -89,6 +93,8 @@ class Template:
         near = (starts[1:] - ends[:-1] == 1) & (text[1:] == text[:-1])
         joint[1:] = near & ((number[1:] & number[:-1] & ((gap == 46) | (gap == 44))) | (name[1:] & name[:-1] & (gap == 32)))
         kept = np.flatnonzero(~joint)
+        self.words, self.word_first = words.hashes, words.first
+        self.token_of, self.begin = np.cumsum(~joint) - 1, kept
         ends = ends[np.append(kept[1:], n) - 1]
         starts, number, name, text = starts[kept], number[kept], name[kept], text[kept]
         self.values = words.span_hashes(starts, ends)
@@ -105,12 +111,40 @@ class Template:
         enough = plain[at + k] - plain[at] >= min(MIN_PLAIN, k)
         return at[enough], mix(hashes[enough] + _U(k))
 
+    def literals(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word positions and fingerprints of the k-word windows of the words themselves."""
+        at, hashes = window_hashes(self.words, self.word_first, k)
+        return at, mix(hashes + _U(2 * WINDOW + k))
+
+    def wanted_literals(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Literal windows that an item needs beside its template windows, and the first and last token each holds whole.
+
+        Those with fewer than MIN_PLAIN plain words, and all of an item with one
+        template window at most.  An item without a plain word has none.
+        """
+        at, hashes = self.literals(k)
+        if not len(at):
+            return at, hashes, at, at
+        text = np.searchsorted(self.word_first, at, side="right") - 1
+        counts = np.diff(self.word_first)[text]
+        tokens = np.concatenate([[0], np.cumsum(self.plain)])
+        some = (tokens[self.first[1:]] - tokens[self.first[:-1]])[text] > 0
+        plain = np.concatenate([[0], np.cumsum(self.plain[self.token_of])])
+        few = (plain[at + k] - plain[at] < MIN_PLAIN) | (np.diff(self.first)[text] <= WINDOW)
+        low, high = self.token_of[at], self.token_of[at + k - 1]
+        inside = low == high
+        after = np.append(self.begin[1:], len(self.words))
+        start = np.where(inside, low, low + (self.begin[low] != at))
+        end = np.where(inside, high, high - (after[high] != at + k))
+        use = (counts >= k if k == WINDOW else counts == k) & some & few & (start <= end)
+        return at[use], hashes[use], start[use], end[use]
+
     def slots(self, at: int, k: int) -> list[int]:
         part = slice(at, at + k)
         return signed(self.values[part][~self.plain[part]]).tolist()
 
 
-SCHEMA = "id bigint, print bigint, window bigint, k int, at int, n_tokens int, slots array<bigint>"
+SCHEMA = "id bigint, print bigint, window bigint, k int, at int, low int, high int, n_tokens int, slots array<bigint>"
 
 
 def _windows(texts: DataFrame, lengths: list[int] | None, bitmap: np.ndarray | None) -> DataFrame:
@@ -118,6 +152,9 @@ def _windows(texts: DataFrame, lengths: list[int] | None, bitmap: np.ndarray | N
 
     ``lengths`` None: benchmark side, where a text shorter than WINDOW is one
     window; else documents, with windows of these lengths that are in ``bitmap``.
+    A literal window has its length in words as a negative k, and the position
+    of its last token, as its first may be part of a longer name in the document.
+    ``low`` to ``high`` are the item's tokens in the window.
     """
     shared = None if bitmap is None else texts.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -129,26 +166,37 @@ def _windows(texts: DataFrame, lengths: list[int] | None, bitmap: np.ndarray | N
             for a, b in passes(rows):
                 template = Template([t or b"" for t in rows[a:b]])
                 sizes = np.diff(template.first)
-                owner, win, ks, ats, slots = [], [], [], [], []
-                for k in lengths or range(MIN_PLAIN, WINDOW + 1):
-                    at, hashes = template.windows(k)
+                owner, win, ks, ats, lows, highs, slots = [], [], [], [], [], [], []
+                for k in lengths or [*range(-WINDOW, 0), *range(MIN_PLAIN, WINDOW + 1)]:
+                    if k > 0:
+                        at, hashes = template.windows(k)
+                        low, high = at, at + k - 1
+                    elif bits is None:
+                        at, hashes, low, high = template.wanted_literals(-k)
+                        at = template.token_of[at - k - 1]
+                    else:
+                        at, hashes = template.literals(-k)
+                        low = high = at = template.token_of[at - k - 1]
                     text = np.searchsorted(template.first, at, side="right") - 1
+                    base = template.first[text]
                     if bits is not None:
                         place = (hashes >> _U(64 - BITMAP_BITS)).astype(np.int64)
                         hit = (bits[place >> 3] >> (place & 7)) & 1 > 0
                     else:
-                        hit = (sizes[text] == k) if k < WINDOW else np.ones(len(at), bool)
-                    at, hashes, text = at[hit], hashes[hit], text[hit]
+                        hit = (sizes[text] == k) if 0 < k < WINDOW else np.ones(len(at), bool)
+                    at, hashes, text, low, high, base = at[hit], hashes[hit], text[hit], low[hit], high[hit], base[hit]
                     owner.append(text)
                     win.append(hashes)
                     ks.append(np.full(len(at), k, np.int32))
-                    ats.append((at - template.first[text]).astype(np.int32))
-                    slots += [template.slots(x, k) for x in at]
+                    ats.append((at - base).astype(np.int32))
+                    lows.append((low - base).astype(np.int32))
+                    highs.append((high - base).astype(np.int32))
+                    slots += [template.slots(x, y - x + 1) for x, y in zip(low, high, strict=True)]
                 owner = np.concatenate(owner)
                 take = pa.array(owner + a)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), prints.take(take), pa.array(signed(np.concatenate(win))), pa.array(np.concatenate(ks)), pa.array(np.concatenate(ats)), pa.array(sizes[owner].astype(np.int32)), pa.array(slots, pa.list_(pa.int64()))],
-                    names=["id", "print", "window", "k", "at", "n_tokens", "slots"],
+                    [ids.take(take), prints.take(take), pa.array(signed(np.concatenate(win))), pa.array(np.concatenate(ks)), pa.array(np.concatenate(ats)), pa.array(np.concatenate(lows)), pa.array(np.concatenate(highs)), pa.array(sizes[owner].astype(np.int32)), pa.array(slots, pa.list_(pa.int64()))],
+                    names=["id", "print", "window", "k", "at", "low", "high", "n_tokens", "slots"],
                 )
 
     return texts.mapInArrow(run, SCHEMA)
@@ -176,7 +224,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     (bound to another value), consistent.
     """
     items = checkpoint(_windows(_texts(benchmark, item_col, item_text_col), None, None).distinct())
-    lengths = sorted({r[0] for r in items.select("k").distinct().collect()})  # at most WINDOW values
+    lengths = sorted({r[0] for r in items.select("k").distinct().collect()})  # at most 2 * WINDOW values
     if not lengths:
         lengths = [WINDOW]
     found = _windows(_texts(docs, id_col, text_col), lengths, _bitmap(items)).distinct()
@@ -185,12 +233,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     pairs = checkpoint(
         pairs.select(
             F.col("d.id").alias("doc_id"), F.col("d.print").alias("print"), F.col("i.id").alias("item_id"), F.col("i.print").alias("item_print"),
-            (F.col("d.at") - F.col("i.at")).alias("offset"), F.col("i.at").alias("at"), F.col("i.k").alias("k"), F.col("i.n_tokens").alias("n_tokens"),
-            F.arrays_zip(F.col("i.slots").alias("item"), F.col("d.slots").alias("doc")).alias("slots"),
+            (F.col("d.at") - F.col("i.at")).alias("offset"), F.col("i.low").alias("low"), F.col("i.high").alias("high"), F.col("i.n_tokens").alias("n_tokens"),
+            F.arrays_zip(F.col("i.slots").alias("item"), F.when(F.col("i.k") < 0, F.col("i.slots")).otherwise(F.col("d.slots")).alias("doc")).alias("slots"),
         )
     )
     key = ["doc_id", "print", "item_id", "item_print", "offset"]
-    covered = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("k") - 1)))))
+    covered = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("low", "high")))))
     runs = pairs.groupBy(*key, "n_tokens").agg(F.count("*").alias("n_windows"), covered.alias("covered"))
     bound = pairs.select(*key, F.explode("slots").alias("s")).select(*key, F.col("s.item").alias("item"), F.col("s.doc").alias("doc")).distinct()
     bound = bound.groupBy(*key).agg(

@@ -99,6 +99,14 @@ def test_matches_equal_brute_force_of_united_tokens(spark, sf):
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == want
 
 
+def test_verbatim_items_of_few_plain_words_are_caught(spark, make):
+    draw = random.Random(12)
+    texts = ["Compute 12 + 34 * 56 - 78 / 9 = ?", "Is it so then", "Paris Texas", "Anna Smith went home", "Add 1,2,3,4,5,6,7,8,9,10,11 now", "List 4 8 15 16 23 42 5 7 11 13 17 19 29 31"]
+    bench = items(spark, list(enumerate(texts)))
+    docs = make([(i, f"{prose(draw, 9)} He asked Bob, {t} {prose(draw, 9)}") for i, t in enumerate(texts)] + [(10, f"He told Bob {texts[3]}"), (11, "Compute 12 + 34 * 56 - 78 / 8 = ?"), (12, prose(draw, 40))])
+    assert found(contaminated(docs, bench)) == {**{(i, i): "verbatim" for i in range(len(texts))}, (10, 3): "verbatim"}
+
+
 def test_pipeline_stages(spark, sf):
     names = spark.read.parquet(f"{sf}/documents.parquet").columns
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -3,34 +3,26 @@
 Every function returns the left columns followed by the right ones (left only for
 semi and anti joins); the sides have the aliases ``l`` and ``r``.  The full
 predicate is always evaluated, NULL keys never match ``=``, NaN equals NaN, and
-keys of different widths are compared after widening, as SQL has it.  A
-broadcast needs a side of checked size; beyond it the join shuffles.
+keys of different widths are compared after widening, as SQL has it.  Keys may be
+SQL expressions over the columns of their side.  A broadcast needs a side of
+checked size; beyond it the join shuffles.
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinwright.config import JoinConfig
 from joinwright.plans.advisor import advise
-from joinwright.plans.spec import Clause, Spec, clauses, compare
+from joinwright.plans.spec import Clause, Spec, clauses, compare, fresh
 
 _HINTS = {"broadcast_hash": "broadcast", "shuffle_hash": "shuffle_hash", "merge": "merge", "broadcast_loop": "broadcast", "product": "shuffle_replicate_nl"}
 _MIRROR = {"<": ">", "<=": ">=", ">=": "<=", ">": "<"}
 
 
-def _qualified(expression: str, side: str, columns: list[str]) -> Column:
-    """The expression with its columns read from one side."""
-    if expression in columns:
-        return F.col(f"{side}.`{expression}`")
-    names = "|".join(sorted(map(re.escape, columns), key=len, reverse=True))
-    return F.expr(re.sub(rf"(?<![\w.'])({names})(?![\w(.'])", rf"{side}.\1", expression))
-
-
 def join(left: DataFrame, right: DataFrame, on=(), how: str = "inner", strategy: str = "auto", residual: str | None = None, config: JoinConfig | None = None) -> DataFrame:
     """Joins by ``on``: names, (left, right) pairs or (left, op, right) triples with op of = <=> < <= >= > <>.
 
@@ -48,18 +40,33 @@ def join(left: DataFrame, right: DataFrame, on=(), how: str = "inner", strategy:
     return _planned(left, right, Spec(given, residual, how), config, strategy, ("l", "r"))
 
 
+def _keys(df: DataFrame, expressions: list[str], taken: set[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with a column for each expression that is no column of it already, and the columns' names."""
+    names = [e if e in df.columns else fresh("__key", taken) for e in expressions]
+    return df.select("*", *(F.expr(e).alias(n) for e, n in zip(expressions, names, strict=True) if e != n)), names
+
+
 def _planned(left: DataFrame, right: DataFrame, spec: Spec, config: JoinConfig, strategy: str, names: tuple[str, str]) -> DataFrame:
     advice = advise(left, right, spec, config, strategy)
-    one, two = left.alias(names[0]), right.alias(names[1])
+    # an expression is resolved on its own side, so its text is never rewritten
+    taken = {*left.columns, *right.columns}
+    (one, left_keys), (two, right_keys) = (_keys(df, [getattr(c, side) for c in spec.clauses], taken) for df, side in ((left, "left"), (right, "right")))
+    added = one.columns != left.columns or two.columns != right.columns
+    one, two = one.alias(names[0]), two.alias(names[1])
     loop = advice.strategy in ("broadcast_loop", "product")
-    terms = [compare(c.op, _qualified(c.left, names[0], left.columns), _qualified(c.right, names[1], right.columns), loop) for c in spec.clauses]
+    terms = [compare(c.op, F.col(f"{names[0]}.`{a}`"), F.col(f"{names[1]}.`{b}`"), loop) for c, a, b in zip(spec.clauses, left_keys, right_keys, strict=True)]
     if spec.residual:
         terms.append(F.expr(spec.residual))
     if advice.strategy in _HINTS:
-        two = two.hint(_HINTS[advice.strategy])
+        hint = _HINTS[advice.strategy]
+        one, two = (one.hint(hint), two) if advice.side == "left" else (one, two.hint(hint))
     if not terms:
         return one.crossJoin(two) if spec.how in ("inner", "cross") else one.join(two, F.lit(True), spec.how)
-    return one.join(two, reduce(lambda a, b: a & b, terms), spec.how)
+    found = one.join(two, reduce(lambda a, b: a & b, terms), spec.how)
+    if not added:
+        return found
+    sides = [(names[0], left), (names[1], right)][: 1 if spec.how in ("left_semi", "left_anti") else 2]
+    return found.select(*(F.col(f"{n}.`{c}`") for n, df in sides for c in df.columns))
 
 
 def hash_join(left: DataFrame, right: DataFrame, on, how: str = "inner", **options) -> DataFrame:

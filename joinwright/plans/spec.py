@@ -61,6 +61,15 @@ class Spec:
         return "theta" if len(self.clauses) == 1 and not self.residual else "general"
 
 
+def fresh(name: str, taken: set[str]) -> str:
+    """A column name that no side has (names are compared without case), added to ``taken``."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    taken.add(name)
+    return name
+
+
 def clauses(on) -> tuple[Clause, ...]:
     """Clauses from names, (left, right) pairs and (left, op, right) triples."""
     out = []

@@ -10,7 +10,7 @@ from joinwright.config import JoinConfig, loaded
 from joinwright.functions.columns import int_div, nulls_last
 from joinwright.operators.bands import band_join
 from joinwright.operators.joins import hash_join, join, left_where_missing, merge_join, nested_loop_join, not_in
-from joinwright.plans.advisor import advise, hash_fits
+from joinwright.plans.advisor import Size, advise, choose, relation_bytes
 from joinwright.plans.explain import describe, join_operators
 from joinwright.plans.spec import Spec, clauses
 from joinwright.sources import tables
@@ -184,6 +184,38 @@ def test_band_join_equals_brute_force(spark):
         band_join(left, right, "k", "m", 1, 0)
 
 
+@pytest.mark.parametrize("kind", ["double", "float", "decimal(12,3)", "int"])
+def test_band_join_on_random_numbers(spark, kind):
+    import decimal
+
+    import numpy as np
+
+    draw = random.Random(17)
+    make = {"double": float, "float": lambda x: float(np.float32(x)), "decimal(12,3)": lambda x: decimal.Decimal(str(x)).quantize(decimal.Decimal("0.001")), "int": lambda x: int(x)}[kind]
+    odd = [float("nan"), float("inf"), float("-inf"), 1e300, -0.0, 2.0**60] if kind in ("double", "float") else []
+    odd = [x if kind == "double" else float(np.float32(min(x, 1e38)) if x == x else x) for x in odd]
+    a = [make(draw.choice([4110.7, draw.randrange(50000) / 10])) for _ in range(150)] + odd
+    b = [make(x + 1.1 * draw.randrange(-1, 12) / 10) if kind != "decimal(12,3)" else make(float(x) + 0.11 * draw.randrange(-1, 12)) for x in a if x not in odd and x == x] + odd
+    left, right = frame(spark, kind, a), frame(spark, kind, b).withColumnRenamed("k", "m").withColumnRenamed("i", "j")
+    bands = [(0, 1, True, False), (-2.5, 2.5, False, True), (0, 0, True, True)] if kind == "int" else [(0, 1.1, True, True), (-0.001, 0.001, False, True), (0.3, 0.3, True, True), (1e-17, 2e-17, True, True)]
+    for low, high, lo_in, hi_in in bands:
+        kind_of = "BD" if kind[:7] == "decimal" else ""  # sums of decimals are exact
+        exact = f"m {'>=' if lo_in else '>'} k + {low!r}{kind_of} AND m {'<=' if hi_in else '<'} k + {high!r}{kind_of}"
+        want = sorted(map(tuple, left.crossJoin(right).where(exact).select("i", "j").collect()))
+        assert sorted(map(tuple, band_join(left, right, "k", "m", low, high, lo_in, hi_in).select("i", "j").collect())) == want, (low, high)
+
+
+def test_band_join_at_the_ends_and_with_clashing_names(spark):
+    ends = [-(2**63), -(2**63) + 1, 0, 2**63 - 2, 2**63 - 1]
+    left = frame(spark, "bigint", ends).withColumn("__band", F.lit(1)).withColumn("__at", F.lit(2))
+    right = frame(spark, "bigint", ends).withColumnRenamed("k", "m").withColumnRenamed("i", "j").withColumn("__LOW", F.lit(3))
+    for low, high in ((-1, 1), (1, 5), (-5, -1), (0, 0)):
+        found = band_join(left, right, "k", "m", low, high)
+        assert found.columns == left.columns + right.columns
+        want = [(i, j) for i, x in enumerate(ends) for j, y in enumerate(ends) if x + low <= y <= x + high]
+        assert sorted(map(tuple, found.select("i", "j").collect())) == want
+
+
 def test_settings(spark):
     for bad in (64, 99, 10001):
         with pytest.raises(ValueError, match="batch_size"):
@@ -219,7 +251,36 @@ def test_plans_follow_the_strategy(spark, sf):
 
 
 def test_memory_guard():
-    assert hash_fits(50_000, 2, 5_767_168) and not hash_fits(50_000, 2, 5_767_167)
+    row = Size(1.0, 100.0, 2)
+    assert relation_bytes(Size(1000.0, 100_000.0, 2)) == 1000 * relation_bytes(row) > 100_000
+    assert relation_bytes(Size(10.0, 0.0, 5)) > relation_bytes(Size(10.0, 0.0, 2))
+    big = JoinConfig(broadcast_bytes=0)
+    side, other = Size(1e6, 1e8, 3), Size(1e7, 1e9, 3)
+    room = relation_bytes(side) / 3
+    for budget, want in ((room * 1.01, "shuffle_hash"), (room * 0.99, "merge")):
+        # one key may hold a third of the side, however many tasks there are
+        assert choose(other, side, True, "left", 5000, JoinConfig(broadcast_bytes=0, hash_task_bytes=int(budget))).strategy == want
+    assert choose(other, Size(1e9, 1e12, 3), True, "inner", 5000, big).side in ("left", "right")
+    assert choose(side, other, True, "inner", 200, JoinConfig(broadcast_bytes=int(2e8))).side == "left"
+    assert choose(side, other, True, "left", 200, JoinConfig(broadcast_bytes=int(2e8))).strategy != "broadcast_hash"
+
+
+def test_smaller_side_is_built(spark, sf):
+    part, lineitem = tables.table(spark, sf, "part"), tables.table(spark, sf, "lineitem")
+    on = [("p_partkey", "l_partkey")]
+    for found, side in ((join(part, lineitem, on), "BuildLeft"), (join(lineitem, part, [on[0][::-1]]), "BuildRight"), (join(part, lineitem, on, "left"), "BuildRight")):
+        assert side in found._jdf.queryExecution().executedPlan().toString()
+    exploded = part.select("p_partkey", F.explode(F.sequence(F.lit(1), F.col("p_size"))).alias("x"))
+    assert advise(lineitem, exploded, Spec(clauses([("l_partkey", "p_partkey")]), how="left"), JoinConfig()).strategy == "merge"
+
+
+def test_key_expressions_are_resolved_on_their_side(spark):
+    a = spark.createDataFrame([(1, "2024-01-02 03:00:00", "id")], "id int, t string, v string").selectExpr("id", "cast(t as timestamp) date", "v")
+    b = spark.createDataFrame([(1, "2024-01-02 05:00:00", "id")], "ID int, t string, v string").selectExpr("ID", "cast(t as timestamp) date", "v")
+    for on in ([("cast(date as date)", "cast(date as date)")], [("ID + 0", "id + 0")], [("concat(v, 'date')", "concat(v, 'date')")], [("date_trunc('DAY', date)", "<=", "date")]):
+        found = join(a, b, on)
+        assert found.columns == ["id", "date", "v", "ID", "date", "v"] and found.count() == 1
+        assert join(a, b, on, "left_semi").columns == a.columns
 
 
 def test_spec_kinds(spark):

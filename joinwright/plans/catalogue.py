@@ -48,13 +48,22 @@ def inner_int4(t, s):
     return join(t("customer"), t("nation"), [("c_nationkey", "n_nationkey")], strategy=s).select("c_custkey", "n_name")
 
 
+_TS = "select o.o_orderdate, count(*) n from orders o join lineitem l on o.o_orderdate=l.l_shipdate group by o.o_orderdate"
+
+
+@_query(_TS, ("auto", "hash", "merge"))
+def inner_ts(t, s):
+    found = join(t("orders").select("o_orderdate"), t("lineitem").select("l_shipdate"), [("o_orderdate", "l_shipdate")], strategy=s)
+    return found.groupBy("o_orderdate").agg(F.count("*").alias("n"))
+
+
 def _dates(df, name):
     """Row counts by value: a many-to-many join of counts needs no fan-out."""
     return df.groupBy(name).agg(F.count("*").alias(f"n_{name}"))
 
 
-@_query("select o.o_orderdate, count(*) n from orders o join lineitem l on o.o_orderdate=l.l_shipdate group by o.o_orderdate", ("auto", "hash", "merge"))
-def inner_ts(t, s):
+@_query(_TS, ("auto", "hash", "merge"))
+def inner_ts_counts(t, s):
     found = join(_dates(t("orders"), "o_orderdate"), _dates(t("lineitem"), "l_shipdate"), [("o_orderdate", "l_shipdate")], strategy=s)
     return found.select("o_orderdate", (F.col("n_o_orderdate") * F.col("n_l_shipdate")).alias("n"))
 
@@ -90,9 +99,9 @@ def mixed_width(t, s):
     return join(t("nation"), t("supplier"), [("n_nationkey", "s_suppkey")], strategy=s).select("s_suppkey", "n_name")
 
 
-@_query("select o.o_orderkey, c.c_name from orders o join customer c on o.o_custkey=c.c_custkey where c.c_custkey<=1", ALL)
+@_query("select o.o_orderkey, c.c_name from orders o join customer c on o.o_custkey=c.c_custkey", ALL)
 def zero_key(t, s):
-    return join(t("orders"), t("customer").where("c_custkey <= 1"), [("o_custkey", "c_custkey")], strategy=s).select("o_orderkey", "c_name")
+    return join(t("orders"), t("customer"), [("o_custkey", "c_custkey")], strategy=s).select("o_orderkey", "c_name")
 
 
 @_query("select count(*) n from (select case when o_orderkey%3=0 then null else o_custkey end k from orders) o join (select case when c_custkey%5=0 then null else c_custkey end k from customer) c on o.k=c.k", ALL)
@@ -102,7 +111,7 @@ def null_keys(t, s):
     return join(o, c, "k", strategy=s).agg(F.count("*").alias("n"))
 
 
-@_query("select o.o_custkey, count(*) n from orders o join orders p on o.o_custkey=p.o_custkey group by o.o_custkey", ("auto", "hash", "merge"))
+@_query("select o.o_custkey, count(*) n from orders o join orders p on o.o_custkey=p.o_custkey group by o.o_custkey", ALL)
 def m2m(t, s):
     return join(t("orders").select("o_custkey"), t("orders").select(F.col("o_custkey").alias("k")), [("o_custkey", "k")], strategy=s).groupBy("o_custkey").agg(F.count("*").alias("n"))
 
@@ -128,6 +137,61 @@ def theta_multi(t, s):
     return band_join(e, f, "ts", "fts", 0, MINUTE, include_low=False, strategy=s).select("event_id", "fid")
 
 
+@_query("select c.c_custkey, count(*) n from customer c join customer d on d.c_acctbal>=c.c_acctbal - 0.1 and d.c_acctbal<c.c_acctbal + 1.1 group by c.c_custkey", ("auto", "hash", "merge"))
+def band_f8(t, s):
+    c = t("customer").select("c_custkey", "c_acctbal")
+    d = t("customer").select(F.col("c_acctbal").alias("other"))
+    return band_join(c, d, "c_acctbal", "other", -0.1, 1.1, include_high=False, strategy=s).groupBy("c_custkey").agg(F.count("*").alias("n"))
+
+
+@_query("select s.s_suppkey, count(*) n from supplier s join customer c on s.s_acctbal<c.c_acctbal and s.s_nationkey>c.c_nationkey group by s.s_suppkey", ("auto", "nestloop"))
+def theta_two(t, s):
+    found = join(t("supplier"), t("customer"), [("s_acctbal", "<", "c_acctbal"), ("s_nationkey", ">", "c_nationkey")], strategy=s)
+    return found.groupBy("s_suppkey").agg(F.count("*").alias("n"))
+
+
+@_query("select c.c_custkey from customer c where exists (select 1 from supplier s where s.s_acctbal<c.c_acctbal and s.s_nationkey<>c.c_nationkey)", ("auto", "nestloop"))
+def theta_semi(t, s):
+    return join(t("customer"), t("supplier"), [("c_acctbal", ">", "s_acctbal"), ("c_nationkey", "<>", "s_nationkey")], "left_semi", s).select("c_custkey")
+
+
+@_query("select c.c_custkey from customer c where not exists (select 1 from supplier s where s.s_acctbal<c.c_acctbal)", ("auto", "nestloop"))
+def theta_anti(t, s):
+    return join(t("customer"), t("supplier"), [("c_acctbal", ">", "s_acctbal")], "left_anti", s).select("c_custkey")
+
+
+@_query("select n.n_name, s.s_suppkey from nation n right join supplier s on n.n_nationkey>=s.s_suppkey", ("auto", "nestloop"))
+def theta_right(t, s):
+    return join(t("nation"), t("supplier"), [("n_nationkey", ">=", "s_suppkey")], "right", s).select("n_name", "s_suppkey")
+
+
+@_query("select n.n_name, s.s_suppkey from nation n full join supplier s on n.n_nationkey>s.s_suppkey", ("auto", "nestloop"))
+def theta_full(t, s):
+    return join(t("nation"), t("supplier"), [("n_nationkey", ">", "s_suppkey")], "full", s).select("n_name", "s_suppkey")
+
+
+@_query("select c.c_custkey, s.s_name from customer c join supplier s on c.c_nationkey=s.s_nationkey and c.c_custkey % 10=s.s_suppkey % 10", ALL)
+def two_keys(t, s):
+    return join(t("customer"), t("supplier"), [("c_nationkey", "s_nationkey"), ("c_custkey % 10", "s_suppkey % 10")], strategy=s).select("c_custkey", "s_name")
+
+
+@_query("select p.p_partkey, count(*) n from part p join lineitem l on p.p_partkey=l.l_partkey and cast(p.p_size as decimal(9,2))=cast(l.l_quantity as decimal(12,2)) group by p.p_partkey", ("auto", "hash", "merge"))
+def decimal_key(t, s):
+    found = join(t("part"), t("lineitem"), [("p_partkey", "l_partkey"), ("cast(p_size as decimal(9,2))", "cast(l_quantity as decimal(12,2))")], strategy=s)
+    return found.groupBy("p_partkey").agg(F.count("*").alias("n"))
+
+
+@_query("select p.p_brand, count(*) n from part p join (select distinct p_brand from part where p_size>25) q on encode(p.p_brand)=encode(q.p_brand) group by p.p_brand", ALL)
+def binary_key(t, s):
+    q = t("part").where("p_size > 25").select("p_brand").distinct()
+    return join(t("part"), q, [("encode(p_brand, 'UTF-8')", "encode(p_brand, 'UTF-8')")], strategy=s).groupBy("l.p_brand").agg(F.count("*").alias("n"))
+
+
+@_query("select o.o_orderkey, c.c_name from orders o join customer c on md5(cast(o.o_custkey as varchar))=md5(cast(c.c_custkey as varchar))", ("auto", "hash", "merge"))
+def uuid_key(t, s):
+    return join(t("orders"), t("customer"), [("md5(cast(o_custkey as string))", "md5(cast(c_custkey as string))")], strategy=s).select("o_orderkey", "c_name")
+
+
 @_query("select count(*) n from supplier s join nation n on s.s_suppkey % 7 = n.n_nationkey % 7", ALL)
 def theta_expr(t, s):
     return join(t("supplier"), t("nation"), [("s_suppkey % 7", "n_nationkey % 7")], strategy=s).agg(F.count("*").alias("n"))
@@ -148,7 +212,7 @@ def left_project_inner(t, s):
     return join(t("customer"), t("orders"), [("c_custkey", "o_custkey")], "left", s, residual="r.o_orderstatus = 'F'").select("c_custkey", "o_orderkey")
 
 
-@_query("select c.c_custkey from customer c left join (select * from orders where o_totalprice>400000) o on c.c_custkey=o.o_custkey where o.o_custkey is null", ("auto", "hash", "merge"))
+@_query("select c.c_custkey from customer c left join (select * from orders where o_totalprice>400000) o on c.c_custkey=o.o_custkey where o.o_custkey is null", ALL)
 def left_is_null(t, s):
     return left_where_missing(t("customer"), t("orders").where("o_totalprice > 400000"), [("c_custkey", "o_custkey")], "o_custkey", strategy=s).select("c_custkey")
 
@@ -164,9 +228,9 @@ def right_join(t, s):
     return join(t("orders"), t("customer"), [("o_custkey", "c_custkey")], "right", s).select("o_orderkey", "c_custkey")
 
 
-@_query("select d.doc_id, l.doc_id ldoc, l.quality from (select * from documents where doc_id%2=0) d full join labels l on d.doc_id=l.doc_id", ALL)
+@_query("select d.doc_id, l.doc_id ldoc, l.quality from documents d full join labels l on d.doc_id=l.doc_id", ALL)
 def full_join(t, s):
-    found = join(t("documents").select("doc_id").where("doc_id % 2 = 0"), t("labels"), "doc_id", "full", s)
+    found = join(t("documents").select("doc_id"), t("labels"), "doc_id", "full", s)
     return found.select("l.doc_id", F.col("r.doc_id").alias("ldoc"), "quality")
 
 
@@ -196,7 +260,7 @@ def text_key(t, s):
     return join(t("part"), t("part").where("p_size > 25").select("p_brand").distinct(), "p_brand", strategy=s).groupBy("l.p_brand").agg(F.count("*").alias("n"))
 
 
-@_query("select count(*) n from (select case when c_custkey%2=0 then null else c_nationkey end k from customer) c join nation n on c.k is not distinct from n.n_nationkey", ("auto", "hash", "merge"))
+@_query("select count(*) n from (select case when c_custkey%2=0 then null else c_nationkey end k from customer) c join nation n on c.k is not distinct from n.n_nationkey", ALL)
 def nullsafe(t, s):
     left = t("customer").selectExpr("case when c_custkey%2=0 then null else c_nationkey end k")
     return join(left, t("nation"), [("k", "<=>", "n_nationkey")], strategy=s).agg(F.count("*").alias("n"))

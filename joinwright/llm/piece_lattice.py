@@ -7,14 +7,19 @@ A forward Viterbi pass gives every node's best score.  Those scores are exact
 heuristics for a backward A* search from the end, which therefore pops complete
 segmentations in order of their scores.
 
+The search is linear in a part's length whatever its ties: a node is expanded
+N times at most, as its first N pops are its N best ways to the end; an edge is
+pushed only if it can belong to one of N distinct segmentations that the
+forward scores already prove (the best path with one edge exchanged); and of
+equal scores the node nearest to the beginning is popped first.
+
 A text's segmentations combine those of its parts.  Its N best use only the
-N - 1 parts whose second segmentation costs least, so A* runs on those alone;
-the second score of every part comes from forward and backward Viterbi scores
-over the edges off the best path.
+N - 1 parts whose second segmentation costs least, so A* runs on those alone.
 
 Edge cases: null and empty texts have no pieces and the single segmentation
-score 0; very long parts without spaces are searched in time linear in their
-length; ties are broken in a fixed way; repeated rows get equal results; an empty
+of score 0; very long parts without spaces are searched in time and memory linear in
+their length; of equal scores the segmentation with the longer last piece comes
+first, as everywhere in the search; repeated rows get equal results; an empty
 table gives an empty table; other columns are not read.  Decoding restores the
 text, with the space mark itself read as a space, as the library does.
 """
@@ -23,6 +28,8 @@ from __future__ import annotations
 
 import functools
 import heapq
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +42,7 @@ from joinwright.llm.vocabulary import MARK, Memo, balanced, model_path, processo
 N_BEST = 4
 #: Characters segmented together: larger runs share more words, smaller ones need less memory.
 BATCH_CHARS = 3_000_000
-MEMO = 20_000
+MEMO_BYTES = 32 << 20
 #: Score of a character without a piece, under the lowest score of the model.
 PENALTY = 10.0
 
@@ -57,25 +64,17 @@ def _code_array(points: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """Vocabulary as a trie of characters with piece numbers and scores."""
+    """Vocabulary: piece texts, numbers and scores, and the surface of each number."""
 
     def __init__(self, items: list[tuple[str, int, float]], byte_ids: list[int], n_ids: int):
-        self.byte_ids = byte_ids
+        self.items, self.byte_ids = sorted(items), byte_ids
         # runs of space marks have a score far outside the trained range
         self.unknown = min((s for _, _, s in items if s > -1e8), default=0.0) - PENALTY
-        self.root: tuple = ({}, None, 0.0)
         self.surface: list[bytes] = [b""] * n_ids
-        found: dict[str, tuple[int, float]] = {}
-        for text, number, score in items:
-            found[text] = (number, score)
+        for text, number, _ in items:
             self.surface[number] = text.replace(MARK, " ").encode()
         for value, number in enumerate(byte_ids):
             self.surface[number] = bytes([value])
-        for text in sorted(found):
-            node = self.root
-            for ch in text:
-                node = node[0].setdefault(ch, [{}, None, 0.0])
-            node[1], node[2] = found[text]
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -87,105 +86,124 @@ class Pieces:
             raise ValueError("the model has no byte pieces")
         return cls([(model.id_to_piece(i), i, model.get_score(i)) for i in plain], byte_ids, n)
 
-    def edges(self, text: str) -> list[list[tuple[int, float, int]]]:
-        """For each node, the edges that leave it: (end, score, piece); piece -1 spells bytes."""
-        out, n = [], len(text)
-        for start in range(n):
-            node, here = self.root, []
-            for end in range(start, n):
-                node = node[0].get(text[end])
-                if node is None:
-                    break
-                if node[1] is not None:
-                    here.append((end + 1, node[2], node[1]))
-            if not here or here[0][0] != start + 1:
-                here.append((start + 1, self.unknown, -1))
-            out.append(here)
-        return out
+    def decode(self, ids) -> bytes:
+        """Text of piece numbers, without the library's leading space."""
+        out = b"".join([self.surface[i] for i in ids])
+        return out[1:] if out[:1] == b" " else out
+
 
-    def spell(self, text: str, path: list[tuple[int, int, int]]) -> tuple[int, ...]:
-        """Piece numbers of a path of (start, end, piece)."""
+class Lattice:
+    """One part's lattice: its edges in flat arrays, ordered by end and then by start.
+
+    Edges into node v are ``cut[v]:cut[v + 1]``; piece -1 spells the character's bytes.
+    """
+
+    #: Nodes whose edges are looked up, or turned into Python numbers, at a time.
+    BLOCK = 1 << 14
+
+    def __init__(self, table: PieceTable, part: str):
+        self.table, self.text = table, part.replace(" ", MARK)
+        chars = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
+        n = self.n = len(chars)
+        starts, ends, scores, pieces = [], [], [], []
+        for a in range(0, n, self.BLOCK):
+            for k, at, score, piece in table.matches(chars, a, min(a + self.BLOCK, n)):
+                starts.append(at.astype(np.int32))
+                ends.append((at + k).astype(np.int32))
+                scores.append(score)
+                pieces.append(piece)
+        start, end = np.concatenate(starts), np.concatenate(ends)
+        order = np.lexsort((start, end))
+        self.start, self.score, self.piece = start[order], np.concatenate(scores)[order], np.concatenate(pieces)[order]
+        self.cut = np.searchsorted(end[order], np.arange(n + 2))
+        self._forward()
+
+    def _forward(self) -> None:
+        """Viterbi: the best score of each node and the edge by which it is reached; of equal ones the longest."""
+        forward, back = array("d", [0.0]), array("q", [-1])
+        for a in range(1, self.n + 1, self.BLOCK):
+            b = min(a + self.BLOCK, self.n + 1)
+            low, high = self.cut[a], self.cut[b]
+            edges = zip(self.start[low:high].tolist(), self.score[low:high].tolist(), range(low, high), strict=True)
+            for count in np.diff(self.cut[a : b + 1]).tolist():
+                top, pick = -np.inf, -1
+                for start, score, edge in islice(edges, count):
+                    total = forward[start] + score
+                    if total > top:
+                        top, pick = total, edge
+                forward.append(top)
+                back.append(pick)
+        self.forward, self.back = forward, back
+        path, at = [], self.n
+        while at:
+            path.append(back[at])
+            at = int(self.start[back[at]])
+        #: Edges of the best path, from the end.
+        self.path = np.array(path, np.int64)
+
+    def exchanges(self) -> np.ndarray:
+        """Score of the best path with one of its edges exchanged and the best beginning before that, best first.
+
+        The n-th best segmentation scores no less than the n-th of these with the
+        best path before them, and the second best is the first of them.
+        """
+        ends = np.append(self.n, self.start[self.path][:-1]).astype(np.int64)
+        behind = np.append(0.0, np.cumsum(self.score[self.path])[:-1])
+        counts = self.cut[ends + 1] - self.cut[ends]
+        edge = np.repeat(self.cut[ends], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        total = np.repeat(behind, counts) + self.score[edge] + np.frombuffer(self.forward)[self.start[edge]]
+        return -np.sort(-total[edge != np.repeat(self.path, counts)])
+
+    def spell(self, edges: list[int]) -> tuple[int, ...]:
+        """Piece numbers of edges given in reading order."""
         out: list[int] = []
-        for start, end, piece in path:
+        for edge, piece in zip(edges, self.piece[edges].tolist(), strict=True):
             if piece >= 0:
                 out.append(piece)
             else:
-                out += [self.byte_ids[b] for b in text[start:end].encode()]
+                out += [int(self.table.byte_ids[b]) for b in self.text[self.start[edge]].encode()]
         return tuple(out)
 
-    def best(self, part: str) -> tuple[tuple[int, ...], float, float]:
-        """Best segmentation of a part, its score, and how much the second one costs more."""
-        text = part.replace(" ", MARK)
-        edges = self.edges(text)
-        forward, back = _forward(edges)
-        n = len(text)
-        after = [0.0] * (n + 1)
-        for start in range(n - 1, -1, -1):
-            after[start] = max([score + after[end] for end, score, _ in edges[start]])
-        path, at = [], n
-        while at:
-            start, piece = back[at]
-            path.append((start, at, piece))
-            at = start
-        path.reverse()
-        used = {start: end for start, end, _ in path}
-        second = -np.inf
-        for start, leaving in enumerate(edges):
-            own, base = used.get(start), forward[start]
-            for end, score, _ in leaving:
-                if end != own:
-                    total = base + score + after[end]
-                    if total > second:
-                        second = total
-        return self.spell(text, path), forward[n], forward[n] - second
-
-    def n_best(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best segmentations of a part as (score, pieces), by backward A*."""
-        text = part.replace(" ", MARK)
-        edges = self.edges(text)
-        forward, _ = _forward(edges)
-        entering: list[list[tuple[int, float, int]]] = [[] for _ in range(len(text) + 1)]
-        for start, leaving in enumerate(edges):
-            for end, score, piece in leaving:
-                entering[end].append((start, score, piece))
-        # (minus the score of the best complete path, order, node, score so far, path to the end)
-        heap: list[tuple] = [(-forward[-1], 0, len(text), 0.0, None)]
-        out, order = [], 0
-        while heap and len(out) < n:
-            _, _, node, so_far, path = heapq.heappop(heap)
+    def best(self) -> tuple[tuple[int, ...], float, float]:
+        """Best segmentation, its score, and how much the second one costs more."""
+        others = self.exchanges()
+        top = self.forward[self.n]
+        return self.spell(self.path[::-1].tolist()), top, top - others[0] if len(others) else np.inf
+
+    def n_best(self, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The ``n`` best segmentations as (score, pieces), by backward A*; the first is that of ``best``."""
+        others = self.exchanges()
+        bound = others[n - 2] if 1 < n <= len(others) + 1 else -np.inf if n > 1 else self.forward[self.n]
+        bound -= 1e-9 * (1 + abs(bound)) if bound > -np.inf else 0
+        forward, cut = self.forward, self.cut
+        # (minus the score of the best complete path, node, order, score so far, path to the end)
+        heap: list[tuple] = [(-forward[self.n], self.n, 0, 0.0, None)]
+        pops: dict[int, int] = {}
+        found, order = [], 0
+        while heap and len(found) < n:
+            _, node, _, so_far, path = heapq.heappop(heap)
             if node == 0:
                 steps = []
                 while path:
                     steps.append(path[0])
                     path = path[1]
-                out.append((so_far, self.spell(text, steps)))
+                found.append((so_far, steps))
+                continue
+            times = pops[node] = pops.get(node, 0) + 1
+            if times > n:
                 continue
-            for start, score, piece in entering[node]:
-                order += 1
+            low, high = int(cut[node]), int(cut[node + 1])
+            for edge, start, score in zip(range(low, high), self.start[low:high].tolist(), self.score[low:high].tolist(), strict=True):
                 total = so_far + score
-                heapq.heappush(heap, (-(total + forward[start]), order, start, total, ((start, node, piece), path)))
-        return out
-
-    def decode(self, ids) -> bytes:
-        """Text of piece numbers, without the library's leading space."""
-        out = b"".join([self.surface[i] for i in ids])
-        return out[1:] if out[:1] == b" " else out
-
-
-def _forward(edges: list[list[tuple[int, float, int]]]) -> tuple[list[float], list]:
-    """Viterbi scores of the nodes and the best edge into each."""
-    n = len(edges)
-    score_at = [-np.inf] * (n + 1)
-    score_at[0] = 0.0
-    back: list = [None] * (n + 1)
-    for start in range(n):
-        base = score_at[start]
-        for end, score, piece in edges[start]:
-            total = base + score
-            if total > score_at[end]:
-                score_at[end] = total
-                back[end] = (start, piece)
-    return score_at, back
+                reach = total + forward[start]
+                if reach >= bound:
+                    order += 1
+                    heapq.heappush(heap, (-reach, start, order, total, (edge, path)))
+        # sums taken from the end may order equal scores in another way than those of the forward pass
+        first = self.path[::-1].tolist()
+        at = next((i for i, (_, steps) in enumerate(found) if steps == first), len(found) - 1)
+        found = [(self.forward[self.n], first), *found[:at], *found[at + 1 :]]
+        return [(score, self.spell(steps)) for score, steps in found]
 
 
 class PieceTable:
@@ -194,13 +212,7 @@ class PieceTable:
     BITS = 21
 
     def __init__(self, pieces: Pieces):
-        items = []
-        stack = [("", pieces.root)]
-        while stack:
-            text, node = stack.pop()
-            if node[1] is not None:
-                items.append((text, node[1], node[2]))
-            stack += [(text + ch, child) for ch, child in node[0].items()]
+        items = pieces.items
         self.longest = max((len(t) for t, _, _ in items), default=1)
         hashes = np.zeros(len(items), _U)
         for i, (text, _, _) in enumerate(items):
@@ -241,6 +253,20 @@ class PieceTable:
             out[hit] = at[hit]
         return out
 
+    def matches(self, chars: np.ndarray, a: int, b: int):
+        """(length, starts, scores, pieces) of the edges that start in a..b-1; a character without a piece has piece -1."""
+        none = len(self.hash) - 1
+        codes = _code_array(chars[a : b + self.longest - 1])
+        hashes = np.zeros(len(codes), _U)
+        for k in range(1, min(self.longest, len(chars) - a) + 1):
+            hashes = hashes[: len(codes) - k + 1] * _U(_STEP) + codes[k - 1 :]
+            found = self.find(hashes[: b - a])
+            if k == 1:
+                yield 1, np.arange(a, a + len(found)), np.where(found == none, self.unknown, self.score[found]), self.number[found]
+            else:
+                at = np.flatnonzero(found != none)
+                yield k, at + a, self.score[found[at]], self.number[found[at]]
+
     def best(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Best segmentations of equally long parts, a row of code points each.
 
@@ -286,7 +312,7 @@ class PieceTable:
                 rows, score, number = edges[end - k][k - 1]
                 if not len(score):
                     continue
-                # as the scalar pass: of equal totals the longest last piece stays
+                # as in Lattice: of equal totals the longest last piece stays
                 total = forward[end - k][rows] + score
                 better = total > top[rows]
                 chosen = np.flatnonzero(better) if k == 1 else rows[better]
@@ -329,22 +355,22 @@ class PieceTable:
 class Encoder:
     """Best and N-best segmentations of whole texts."""
 
-    #: Parts longer than this take the scalar pass, whose memory is linear in the length.
+    #: Parts longer than this have a lattice of their own; shorter ones of equal length are searched together.
     LONG = 64
 
     def __init__(self, pieces: Pieces, n: int = N_BEST):
         self.pieces, self.n = pieces, n
         self.table = PieceTable(pieces)
-        self.lists = Memo(lambda new: [pieces.n_best(p, n) for p in new], MEMO)
+        self.lists = Memo(lambda new: [Lattice(self.table, p).n_best(n) for p in new], MEMO_BYTES, lambda found: sum(100 + 28 * len(ids) for _, ids in found))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
-        """Pieces of the best segmentations end to end, their number by text, and the scores of the N best by text."""
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[float]], list[list[np.ndarray]]]:
+        """Best segmentations end to end, their lengths by text, and by text the scores and pieces of the N best."""
         bodies = [" " + t.replace(MARK, " ") if t else "" for t in texts]
         whole = "".join(bodies)
         chars = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, bodies), np.int64, len(bodies)))])
         if not len(chars):
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64), [[0.0] for _ in texts]
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64), [[0.0] for _ in texts], [[np.zeros(0, np.int32)] for _ in texts]
         # a part starts at each text and at each space after another character
         space = chars == 32
         opens = space.copy()
@@ -379,7 +405,7 @@ class Encoder:
                 base += len(flat[-1])
         for u in np.concatenate(scalar):
             at = int(starts[unique[u]])
-            found, score[u], extra[u] = self.pieces.best(whole[at : at + int(lengths[unique[u]])])
+            found, score[u], extra[u] = Lattice(self.table, whole[at : at + int(lengths[unique[u]])]).best()
             count[u], where[u] = len(found), base
             flat.append(np.array(found, np.int32))
             base += len(found)
@@ -387,25 +413,37 @@ class Encoder:
         n_part = count[of]
         at = np.repeat(where[of] - (np.cumsum(n_part) - n_part), n_part) + np.arange(int(n_part.sum()))
         ends = np.concatenate([[0], np.cumsum(n_part)])
-        return pool[at], ends[first[1:]] - ends[first[:-1]], self._scores(whole, starts, lengths, first, score[of], extra[of])
+        best = pool[at]
+        scores, paths = self._lists(whole, starts, lengths, first, score[of], extra[of], best, ends)
+        return best, ends[first[1:]] - ends[first[:-1]], scores, paths
 
-    def _scores(self, whole, starts, lengths, first, score, extra) -> list[list[float]]:
-        """N best scores by text, from its parts' best scores and second costs."""
-        near, totals = [], []
+    def _lists(self, whole, starts, lengths, first, score, extra, best, ends) -> tuple[list[list[float]], list[list[np.ndarray]]]:
+        """Scores and pieces of the N best by text, from its parts' best scores, second costs and N-best lists."""
+        near = []
         for a, b in zip(first[:-1], first[1:], strict=True):
-            totals.append(float(score[a:b].sum()))
             m = min(self.n - 1, b - a)
-            best = a + (np.argpartition(extra[a:b], m - 1)[:m] if 0 < m < b - a else np.arange(m))
-            near.append([int(i) for i in best[np.argsort(extra[best], kind="stable")] if extra[i] < np.inf])
+            least = a + (np.argpartition(extra[a:b], m - 1)[:m] if 0 < m < b - a else np.arange(m))
+            near.append(sorted(int(i) for i in least if extra[i] < np.inf))
         lists = iter(self.lists([whole[starts[i] : starts[i] + lengths[i]] for mine in near for i in mine]))
-        out = []
-        for total, mine in zip(totals, near, strict=True):
-            costs = [0.0]
-            for i in mine:
-                choices = [score[i] - s for s, _ in next(lists)]
-                costs = heapq.nsmallest(self.n, [c + x for c in costs for x in choices])
-            out.append([float(total - c) for c in costs])
-        return out
+        scores, paths = [], []
+        for a, b, mine in zip(first[:-1], first[1:], near, strict=True):
+            # (cost, choices): which segmentation of each part of ``mine``
+            combos: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+            choices = [next(lists) for _ in mine]
+            for found in choices:
+                combos = heapq.nsmallest(self.n, [(cost + max(0.0, found[0][0] - s), (*chosen, c)) for cost, chosen in combos for c, (s, _) in enumerate(found)])
+            total = float(score[a:b].sum())
+            scores.append([total - cost for cost, _ in combos])
+            mine_paths = []
+            for _, chosen in combos:
+                pieces, at = [], ends[a]
+                for i, c, found in zip(mine, chosen, choices, strict=True):
+                    if c:
+                        pieces += [best[at : ends[i]], np.array(found[c][1], np.int32)]
+                        at = ends[i + 1]
+                mine_paths.append(np.concatenate([*pieces, best[at : ends[b]]]) if pieces else best[ends[a] : ends[b]])
+            paths.append(mine_paths)
+        return scores, paths
 
 
 @functools.lru_cache(maxsize=4)
@@ -413,14 +451,15 @@ def encoder(path: str, n: int = N_BEST) -> Encoder:
     return Encoder(Pieces.load(path), n)
 
 
-SCHEMA = "doc_id bigint, ids array<int>, scores array<double>, round_trip boolean"
+SCHEMA = "doc_id bigint, ids array<int>, scores array<double>, n_best array<array<int>>, round_trip boolean"
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, n: int = N_BEST) -> DataFrame:
-    """(doc_id, ids, scores, round_trip) for each row.
+    """(doc_id, ids, scores, n_best, round_trip) for each row.
 
-    ids are the pieces of the best segmentation, scores those of the ``n`` best
-    (fewer if there are fewer), round_trip whether decoding ids gives the text.
+    ids are the pieces of the best segmentation, scores and n_best the scores and
+    pieces of the ``n`` best (fewer if there are fewer), the best first;
+    round_trip tells whether decoding ids gives the text.
     """
     path = path or model_path()
 
@@ -429,14 +468,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         decode = coder.pieces.decode
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in balanced(texts, BATCH_CHARS):
-                flat, lengths, scores = coder.encode(texts[a:b])
+            for a, b in balanced((len(t) if t else 0 for t in texts), BATCH_CHARS):
+                flat, lengths, scores, paths = coder.encode(texts[a:b])
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 numbers = flat.tolist()
                 same = [decode(numbers[i:j]) == (t or "").encode() for i, j, t in zip(offsets[:-1], offsets[1:], texts[a:b], strict=True)]
+                every = [x for mine in paths for x in mine]
+                inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, every)]).astype(np.int32)), pa.array(np.concatenate(every) if every else np.zeros(0, np.int32)))
+                outer = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, paths)]).astype(np.int32)), inner)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(scores, pa.list_(pa.float64())), pa.array(same)],
-                    names=["doc_id", "ids", "scores", "round_trip"],
+                    [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(scores, pa.list_(pa.float64())), outer, pa.array(same)],
+                    names=["doc_id", "ids", "scores", "n_best", "round_trip"],
                 )
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
@@ -456,6 +498,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
 
 
 def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: pieces of the best segmentation, their digest, the scores of the four best, round trip."""
+    """Per document: number of pieces of the best segmentation, digests and scores of the four best, round trip."""
     found = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_digest"), F.col("scores").alias("n_best_scores"), "round_trip")
+    digest = F.xxhash64("ids").alias("ids_digest")
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), digest, F.col("scores").alias("n_best_scores"), F.transform("n_best", lambda x: F.xxhash64(x)).alias("n_best_digests"), "round_trip")

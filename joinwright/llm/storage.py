@@ -6,10 +6,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only by a session on one machine that names no folder, as in tests.
 OWN_FOLDER = "/tmp/checkpoints/joinwright"
 
 
+def folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, else the folder given to ``setCheckpointDir``; a cluster must name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.startswith("local["):
+        return OWN_FOLDER
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
 def _path(spark: SparkSession, where: str):
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(where)
@@ -17,15 +27,14 @@ def _path(spark: SparkSession, where: str):
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes ``df`` under ``spark.checkpoint.dir`` and reads it back.
+    """Writes ``df`` under the shared folder and reads it back.
 
     Unlike ``DataFrame.checkpoint`` the last stage runs once.  Every executor can
     read the table, so losing one costs no recomputation of what came before.
     The table goes when the driver ends, or earlier with ``release``.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER
-    where = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    where = f"{folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(where)
     path, fs = _path(spark, where)
     fs.deleteOnExit(path)
@@ -34,7 +43,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Deletes a table made by ``checkpoint`` that nothing reads any more."""
-    path, fs = _path(df.sparkSession, df._joinwright_table)
-    fs.delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by ``checkpoint`` that nothing reads any more."""
+    for df in tables:
+        path, fs = _path(df.sparkSession, df._joinwright_table)
+        fs.delete(path, True)
+        fs.cancelDeleteOnExit(path)

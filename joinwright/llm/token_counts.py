@@ -1,54 +1,64 @@
 """Token counts: Arrow functions that return lengths only.
 
-Rows of an Arrow batch are grouped into sub-batches of about equal size, and
-every text is split at safe boundaries, before its runs of spaces, so a very
-long text needs no more memory per call than a short one.  Counts of parts add
-up exactly; the parts of a sub-batch that the process has not met go to the
-library in one call.
+Texts over ``PART_CHARS`` characters are split at safe boundaries, before a run
+of spaces, so that no call holds much more of a long text than of a short one.
+Counts of parts add up exactly.  The texts and parts of an Arrow batch go to the
+library in calls of about ``CALL_BYTES`` bytes each; only their lengths come back.
 
 Edge cases: null counts as empty, with 0 bytes and 0 tokens; special strings in
-a text are ordinary text, as the library has it; repeated rows get equal counts;
-an empty table gives an empty table; other columns are not read.
+a text are ordinary text, as the library has it; a very long text without spaces
+has no safe boundary and is one part; repeated rows get equal counts; an empty
+table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-import functools
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinwright.llm.vocabulary import Memo, balanced, model_path, parts, processor
+from joinwright.llm.vocabulary import MARK, balanced, model_path, processor
 
 LIMIT = 4096
-BATCH_CHARS = 1 << 20
-#: Characters of parts that go to the library in one call.
-CALL_CHARS = 1 << 18
-MEMO = 400_000
+#: Bytes of text that go to the library in one call.
+CALL_BYTES = 1 << 18
+#: Characters after which a text is cut at the next safe boundary.
+PART_CHARS = 1 << 16
 
+#: Before a run of spaces; the library reads the space mark as a space.
+_BOUNDARY = re.compile(f"(?<=[^ {MARK}])[ {MARK}]")
 
-@functools.lru_cache(maxsize=4)
-def _counter(path: str) -> Memo:
-    model = processor(path)
 
-    def count(new: list[str]) -> list[int]:
-        out: list[int] = []
-        for a, b in balanced(new, CALL_CHARS):
-            # the library puts the first space back; a lone space is one piece
-            out += [len(x) or 1 for x in model.encode([p[1:] for p in new[a:b]], num_threads=1)]
-        return out
+def safe_parts(text: str, limit: int = PART_CHARS) -> list[str]:
+    """Parts of a text of ``limit`` characters or little more.
 
-    return Memo(count, MEMO)
+    A part but the first lacks the space it starts with, which the library adds.
+    """
+    out, at = [], 0
+    while len(text) - at > limit:
+        cut = _BOUNDARY.search(text, at + limit)
+        if not cut:
+            break
+        out.append(text[at : cut.start()])
+        at = cut.end()
+    return [*out, text[at:]]
 
 
-def count_tokens(texts: list[str | None], path: str) -> list[int]:
-    counter = _counter(path)
-    out: list[int] = []
-    for a, b in balanced(texts, BATCH_CHARS):
-        split = [parts(t) if t else [] for t in texts[a:b]]
-        counts = iter(counter([p for s in split for p in s]))
-        out += [sum(next(counts) for _ in s) for s in split]
+def count_tokens(texts: list[str | None], path: str, call_bytes: int = CALL_BYTES, part_chars: int = PART_CHARS) -> list[int]:
+    """Tokens of each text."""
+    model = processor(path)
+    pieces, owners, out = [], [], [0] * len(texts)
+    for i, text in enumerate(texts):
+        if text:
+            split = safe_parts(text, part_chars)
+            pieces += split
+            owners += [i] * len(split)
+    for a, b in balanced((len(p.encode()) for p in pieces), call_bytes):
+        for k, ids in zip(range(a, b), model.encode(pieces[a:b], num_threads=1), strict=True):
+            # an empty part is the lone space that ended a text
+            out[owners[k]] += len(ids) or 1
     return out
 
 
@@ -58,7 +68,11 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count_tokens(batch.column(2).to_pylist(), path), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            sizes = batch.column(1).to_pylist()
+            counts: list[int] = []
+            for a, b in balanced(sizes, 16 * CALL_BYTES):
+                counts += count_tokens(batch.column(2).slice(a, b - a).to_pylist(), path)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.octet_length(text).cast("bigint").alias("n_bytes"), text.alias("text"))

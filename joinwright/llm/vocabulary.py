@@ -3,7 +3,7 @@
 In the models used here a piece holds the space mark only at its start or is a
 run of marks, so no piece and no merge crosses the place before a run of spaces.
 A text with the library's leading space may be cut there, and its segmentation
-is the segmentations of the parts laid end to end.  ``Pieces`` checks the
+is the segmentations of the parts laid end to end.  ``processor`` checks the
 vocabulary for this when it is loaded.
 """
 
@@ -45,12 +45,20 @@ def parts(text: str) -> list[str]:
 
 
 class Memo:
-    """Bounded memo of a function over parts: two generations of at most ``size`` entries."""
+    """Bounded memo of a function over parts: two generations of at most ``size`` bytes each.
 
-    def __init__(self, compute: Callable[[list[str]], list], size: int):
-        self.compute, self.size = compute, size
+    A part of more than ``KEPT`` characters is computed each time it comes.
+    """
+
+    KEPT = 64
+    #: Estimate of an entry's bytes beside its key's characters and its value's ``weight``.
+    ENTRY = 200
+
+    def __init__(self, compute: Callable[[list[str]], list], size: int, weight: Callable[[object], int] = lambda value: 0):
+        self.compute, self.size, self.weight = compute, size, weight
         self.young: dict = {}
         self.old: dict = {}
+        self.bytes = 0
 
     def __call__(self, keys: list[str]) -> list:
         """Values of ``keys`` in order; misses are computed once, together."""
@@ -64,20 +72,25 @@ class Memo:
             unknown = list(missing - fresh.keys())
             fresh.update(zip(unknown, self.compute(unknown), strict=True))
             values = [fresh[k] if v is None else v for k, v in zip(keys, values, strict=True)]
-            if len(self.young) + len(fresh) > self.size:
-                self.old, self.young = self.young, {}
-            self.young.update(fresh if len(fresh) <= self.size else {})
+            for k, v in fresh.items():
+                if len(k) > self.KEPT:
+                    continue
+                more = self.ENTRY + 4 * len(k) + self.weight(v)
+                if self.bytes + more > self.size:
+                    self.old, self.young, self.bytes = self.young, {}, 0
+                if more <= self.size:
+                    self.young[k] = v
+                    self.bytes += more
         return values
 
 
-def balanced(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about ``limit`` characters each."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
+def balanced(sizes, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes add up to about ``limit``; a larger row is a run of its own."""
+    at, size, i = 0, 0, -1
+    for i, n in enumerate(sizes):
         if i > at and size + n > limit:
             yield at, i
             at, size = i, 0
         size += n
-    if at < len(texts):
-        yield at, len(texts)
+    if at <= i:
+        yield at, i + 1

@@ -9,7 +9,7 @@ import pytest
 from checks import same
 
 from joinwright.llm import piece_lattice, sharding, token_counts
-from joinwright.llm.vocabulary import Memo, model_path, processor
+from joinwright.llm.vocabulary import Memo, balanced, model_path, processor
 
 BITS = [" ", "  ", "a", "the", "\n", "▁", "\t", "é", "\x00", "<s>", "</s>", "日本", "👍", "<unk>", "<0x0A>", "ﬁ", "x" * 70]
 
@@ -33,58 +33,106 @@ def test_counts_of_empty_and_repeated_rows(make):
     assert [tuple(r) for r in token_counts.token_counts(make([(None, "a"), (None, "a")])).collect()] == [(None, 1, 1, False)] * 2
 
 
+def test_long_texts_are_cut_at_safe_boundaries():
+    model = processor(model_path())
+    texts = [*samples(600, 5), " a" * 50, "a  " * 50, " " * 40]
+    for limit in (1, 3, 10):
+        assert token_counts.count_tokens(texts, model_path(), 60, limit) == [len(model.encode(t)) for t in texts]
+        assert all("".join(token_counts.safe_parts(t, limit)[:1]) == t[: len(token_counts.safe_parts(t, limit)[0])] for t in texts)
+    long = "word and more words " * 40000
+    assert max(map(len, token_counts.safe_parts(long))) <= token_counts.PART_CHARS + 8
+
+
 def test_memo_is_bounded():
     calls = []
-    memo = Memo(lambda new: calls.append(len(new)) or [len(k) for k in new], 10)
+    memo = Memo(lambda new: calls.append(len(new)) or [len(k) for k in new], 10 * 220)
     for _ in range(3):
-        keys = [str(i) for i in range(0, 200, 7)] + ["1", "1"]
+        keys = [str(i) for i in range(0, 200, 7)] + ["1", "1", "y" * 500]
         for a in range(0, len(keys), 4):
             assert memo(keys[a : a + 4]) == [len(k) for k in keys[a : a + 4]]
-    assert len(memo.young) <= 10 and len(memo.old) <= 10
+    assert 0 < len(memo.young) <= 10 and len(memo.old) <= 10 and not any(len(k) > Memo.KEPT for k in (*memo.young, *memo.old))
+
+
+def test_batches_are_balanced():
+    sizes = [3, 9, 1, 1, 0, 20, 2]
+    runs = list(balanced(sizes, 10))
+    assert runs == [(0, 1), (1, 3), (3, 5), (5, 6), (6, 7)] and list(balanced([], 5)) == []
+
+
+def toy(pieces):
+    return piece_lattice.Pieces([(p, 256 + i, s) for i, (p, s) in enumerate(pieces.items())], list(range(256)), 256 + len(pieces))
 
 
-TOY = piece_lattice.Pieces([("▁", 256, -3.0), ("a", 257, -2.0), ("b", 258, -2.5), ("ab", 259, -3.9), ("▁a", 260, -3.5), ("ba", 261, -4.25), ("aab", 262, -6.0)], list(range(256)), 263)
+PLAIN = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.9, "▁a": -3.5, "ba": -4.25, "aab": -6.0}
+#: Every way to cut a run scores the same.
+TIED = {"▁": -1.0, "a": -1.0, "b": -1.0, "aa": -2.0, "ab": -2.0, "ba": -2.0, "bab": -3.0, "▁a": -2.0, "▁b": -2.5}
 
 
-def all_segmentations(text):
-    """Scores of every path of the toy lattice, best first."""
-    pieces = {p: s for p, s in (("▁", -3.0), ("a", -2.0), ("b", -2.5), ("ab", -3.9), ("▁a", -3.5), ("ba", -4.25), ("aab", -6.0))}
+def all_segmentations(pieces, text):
+    """(score, pieces) of every path of a lattice, best first."""
+    coder = toy(pieces)
     text = text.replace(" ", "▁")
+    number = {p: 256 + i for i, p in enumerate(pieces)}
 
     def walk(at):
         if at == len(text):
-            yield 0.0
+            yield 0.0, ()
         for end in range(at + 1, len(text) + 1):
-            s = pieces.get(text[at:end], TOY.unknown if end == at + 1 else None)
-            if s is not None:
-                yield from (s + rest for rest in walk(end))
+            part = text[at:end]
+            if part in pieces:
+                yield from ((pieces[part] + s, (number[part], *rest)) for s, rest in walk(end))
+            elif end == at + 1:
+                yield from ((coder.unknown + s, (*part.encode(), *rest)) for s, rest in walk(end))
 
     return sorted(walk(0), reverse=True)
 
 
-def test_n_best_equals_enumeration():
-    coder = piece_lattice.Encoder(TOY, 5)
+def check_list(found, every, n):
+    """The n best scores, each with a segmentation of that score, none twice."""
+    assert [s for s, _ in found] == pytest.approx([s for s, _ in every[:n]])
+    scores = dict((ids, s) for s, ids in every)
+    assert all(scores[tuple(ids)] == pytest.approx(s) for s, ids in found) and len({tuple(ids) for _, ids in found}) == len(found)
+
+
+@pytest.mark.parametrize("pieces", [PLAIN, TIED])
+def test_n_best_equals_enumeration(pieces):
+    coder = piece_lattice.Encoder(toy(pieces), 5)
     for n in range(1, 6):
         for chars in itertools.product("abé ", repeat=n):
             text = "".join(chars)
-            flat, counts, scores = coder.encode([text])
-            want = all_segmentations(" " + text)[:5]
-            assert scores[0] == pytest.approx(want), text
-            assert TOY.decode(flat).decode() == text and counts[0] == len(flat)
-    for part in (" aabab", " bbaab"):
-        found = [s for s, _ in TOY.n_best(part, 100)]
-        assert found == pytest.approx(all_segmentations(part)[: len(found)]) and len(found) == min(100, len(all_segmentations(part)))
+            flat, counts, scores, paths = coder.encode([text])
+            check_list(list(zip(scores[0], [p.tolist() for p in paths[0]])), all_segmentations(pieces, " " + text), 5)
+            assert paths[0][0].tolist() == flat.tolist() and counts[0] == len(flat)
+            assert {coder.pieces.decode(p.tolist()).decode() for p in paths[0]} == {text}
+    for part in (" aabab", " bbaab", " aaaabab", " bababab"):
+        every, lattice = all_segmentations(pieces, part), piece_lattice.Lattice(coder.table, part)
+        for n in (1, 2, 3, 4, 10, 1000):
+            check_list(lattice.n_best(n), every, n)
+        ids, score, extra = lattice.best()
+        assert score == pytest.approx(every[0][0]) and extra == pytest.approx(every[0][0] - every[1][0]) and lattice.n_best(3)[0][1] == ids
+
+
+def test_search_is_linear_on_ties_and_long_parts():
+    import time
+
+    coder = piece_lattice.encoder(model_path())
+    draw = random.Random(4)
+    for text in ("jjjnwy" * 1000, "".join(draw.choice("abcXYZ0189") for _ in range(60_000)), "a" * 100_000):
+        began = time.process_time()
+        flat, _, scores, paths = coder.encode([text])
+        assert time.process_time() - began < 20
+        assert len(scores[0]) == len({tuple(p.tolist()) for p in paths[0]}) == 4 and {coder.pieces.decode(p.tolist()).decode() for p in paths[0]} == {text}
 
 
-def test_arrays_equal_the_scalar_pass(corpus):
+def test_arrays_equal_the_lattice_of_one_part(corpus):
     coder = piece_lattice.encoder(model_path())
     texts = [t for _, t in corpus[:40]] + samples(60)
-    flat, counts, scores = coder.encode(texts)
+    flat, counts, scores, _ = coder.encode(texts)
     ends = np.cumsum(counts)
     from joinwright.llm.vocabulary import parts
 
     for text, a, b, s in zip(texts, ends - counts, ends, scores):
-        best = [coder.pieces.best(p) for p in (parts(text) if text else [])]
+        best = [piece_lattice.Lattice(coder.table, p).best() for p in (parts(text) if text else [])]
         assert flat[a:b].tolist() == [i for ids, _, _ in best for i in ids]
         assert s[0] == pytest.approx(sum(x for _, x, _ in best)) and s == sorted(s, reverse=True)
         assert processor(model_path()).decode(flat[a:b].tolist()) == coder.pieces.decode(flat[a:b]).decode() or "▁" in text or text[:1] == " "
@@ -95,7 +143,8 @@ def test_encode_and_decode_round_trip(make, corpus, clashing):
     df = make(list(enumerate(texts)), **clashing)
     encoded = piece_lattice.encode(df).cache()
     for r in encoded.collect():
-        assert r.round_trip == ("▁" not in (texts[r.doc_id] or "")) and len(r.scores) <= piece_lattice.N_BEST
+        assert r.round_trip == ("▁" not in (texts[r.doc_id] or "")) and len(r.scores) == len(r.n_best) <= piece_lattice.N_BEST
+        assert r.n_best[0] == r.ids
     decoded = {r.doc_id: r.text for r in piece_lattice.decode(encoded).collect()}
     assert decoded == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
     assert piece_lattice.encode(make([])).count() == 0
@@ -103,7 +152,7 @@ def test_encode_and_decode_round_trip(make, corpus, clashing):
 
 def test_lattice_query(spark, sf):
     found = piece_lattice.op10_piece_lattice(spark, sf).collect()
-    assert all(r.round_trip and len(r.n_best_scores) == 4 for r in found if r.n_pieces > 4)
+    assert all(r.round_trip and len(r.n_best_scores) == len(set(r.n_best_digests)) == 4 for r in found if r.n_pieces > 4)
 
 
 def test_shards(make, clashing):

@@ -5,33 +5,43 @@ retained: in every window of ``min_words`` words, the position whose 16-word
 gram has the smallest fingerprint.  Equal windows retain the same position, so
 two texts that share ``min_words`` words share a retained suffix.
 
-The retained suffixes are ordered by gram and by content.  Neighbours with
-equal gram and equal content over everything their windows reach collapse to
-their first member (map-side, so a passage copied a million times is one row
-per task); first members whose gram has other contents too are extended to the
-left and right, window by window, and the windows ordered and compared again.
-What remains per passage is linear in its copies: no pair is ever formed.
+1. The retained suffixes are sorted by their gram and by all words that their
+   windows reach, left and right, then by (id, text print, position), over all partitions
+   (``runs``), and neighbours are compared.  A suffix that equals its neighbour
+   over its whole reach repeats the first of their run.
+2. Where neighbours share the gram but not the reach, the first suffix of each
+   run is extended word by word: its windows, from the one that begins
+   furthest to the left to the one that ends furthest to the right, are suffixes
+   of their own, sorted by their words and compared with their neighbours again.
+
+Neither step gathers a passage's copies in one task or forms a pair of them.
+Words are compared by 128-bit cryptographic digests of the words themselves,
+joined by single spaces; fingerprints of 64 bits only choose and order.
 
 A window counts as repeated when an equal window starts earlier in the order
-(id, text fingerprint, position).  Repeated windows of a text that overlap or
+(id, text print, position).  Repeated windows of a text that overlap or
 touch are united into spans.  The earliest copy is never marked.
 
 Edge cases: null or empty texts and texts under ``min_words`` words have no
 span; rows with a null id take no part and are never cut; repeated rows (same id
 and text) count as one document; an id with several texts has spans for each
-text; an empty table gives an empty table; other columns are not read, and
-``remove_repeats`` passes them through.
+text; words may be separated by any white space; an empty table gives an empty
+table; other columns are not read, and ``remove_repeats`` passes them through.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from joinwright.llm.storage import checkpoint
-from joinwright.llm.textcore import Words, byte_texts, mix, passes, signed, window_hashes
+from joinwright.llm.runs import sorted_runs
+from joinwright.llm.storage import checkpoint, release
+from joinwright.llm.textcore import WHITESPACE, Words, byte_texts, passes, signed, window_hashes
 
 MIN_WORDS = 50
 GRAM = 16
@@ -50,13 +60,32 @@ def minimisers(grams: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
+class Digests:
+    """128-bit digests of word ranges: of the words joined by single spaces."""
+
+    def __init__(self, words: Words):
+        # of the white space behind a word, its first byte stays
+        keep = words.inside.copy()
+        keep[1:] |= words.inside[:-1]
+        place = np.cumsum(keep) - 1
+        text = words.buf[keep]
+        self.text = np.where(WHITESPACE[text], np.uint8(32), text).tobytes()
+        self.starts, self.ends = place[words.starts], place[words.ends - 1] + 1
+
+    def of(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the digests of the words first..last - 1."""
+        text = self.text
+        found = b"".join([blake2b(text[a:b], digest_size=16).digest() for a, b in zip(self.starts[first].tolist(), self.ends[last - 1].tolist(), strict=True)])
+        halves = np.frombuffer(found, np.int64).reshape(-1, 2)
+        return halves[:, 0], halves[:, 1]
+
+
 def anchors(words: Words, min_words: int) -> tuple[np.ndarray, ...]:
-    """Retained suffixes: text, gram, content, first window start in the text, number of windows."""
+    """Retained suffixes: text, gram, both halves of the digest of their reach, first window start in the text, number of windows."""
     last = np.repeat(words.first[1:], words.counts) - min_words
     starts = np.flatnonzero(np.arange(len(words.hashes)) <= last)
     if not len(starts):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return (np.zeros(0, np.int64),) * 6
     every, grams = window_hashes(words.hashes, np.array([0, len(words.hashes)]), GRAM)
     at = minimisers(grams, min_words - GRAM + 1)[starts]
     text = np.searchsorted(words.first, starts, side="right") - 1
@@ -65,18 +94,15 @@ def anchors(words: Words, min_words: int) -> tuple[np.ndarray, ...]:
     lo = starts[new]
     count = np.diff(np.append(np.flatnonzero(new), len(starts)))
     at, text = at[new], text[new]
-    content = _content(words.hashes, lo, lo + count - 1 + min_words, at - lo)
-    return text, signed(grams[at]), signed(content), lo - words.first[text], count
-
+    return text, signed(grams[at]), *Digests(words).of(lo, lo + count - 1 + min_words), lo - words.first[text], count
 
-def _content(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    from joinwright.llm.textcore import _spans
 
-    return mix(_spans(hashes, starts, ends) + mix(offset.astype(_U) + (ends - starts).astype(_U) * _U(1 << 32)))
+RUNS_SCHEMA = "k0 bigint, k1 bigint, k2 bigint, o0 bigint, o1 bigint, o2 bigint, payload bigint"
+_NAMES = [x.split()[0] for x in RUNS_SCHEMA.split(", ")]
 
 
 def _retained(docs: DataFrame, min_words: int) -> DataFrame:
-    """(gram, content, doc_id, print, lo, n) of every retained suffix."""
+    """Every retained suffix, to be sorted by gram and digest, with its number of windows."""
 
     def run(batches):
         for batch in batches:
@@ -84,18 +110,15 @@ def _retained(docs: DataFrame, min_words: int) -> DataFrame:
             ids, prints = batch.column(0), batch.column(1)
             for a, b in passes(texts):
                 words = Words([t or b"" for t in texts[a:b]])
-                text, gram, content, lo, n = anchors(words, min_words)
+                text, gram, one, two, lo, n = anchors(words, min_words)
                 rows = pa.array(text + a)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array(content), ids.take(rows), prints.take(rows), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["gram", "content", "doc_id", "print", "lo", "n"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(one), pa.array(two), ids.take(rows), prints.take(rows), pa.array(lo), pa.array(n)], names=_NAMES)
 
-    return docs.select("doc_id", "print", "text").mapInArrow(run, "gram bigint, content bigint, doc_id bigint, print bigint, lo int, n int")
+    return docs.select("doc_id", "print", "text").mapInArrow(run, RUNS_SCHEMA)
 
 
 def _windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(window, content, doc_id, print, at) for each window start in the array ``parts`` of (content, lo, n)."""
+    """Every window of the suffixes in the array ``parts`` of (lo, n), to be sorted by its digest, with that suffix's lo."""
 
     def run(batches):
         for batch in batches:
@@ -105,36 +128,26 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
                 part = parts.slice(a, b - a)
                 rows = np.repeat(np.arange(b - a), np.asarray(part.value_lengths()))
                 flat = part.flatten()
-                lo, n = (np.asarray(flat.field(k)).astype(np.int64) for k in (1, 2))
+                lo, n = (np.asarray(flat.field(k)).astype(np.int64) for k in (0, 1))
                 each = np.repeat(np.arange(len(lo)), n)
                 at = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
                 begin = words.first[rows[each]] + at
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed(_content(words.hashes, begin, begin + min_words, np.zeros(len(begin), np.int64)))),
-                        flat.field(0).take(pa.array(each)),
-                        batch.column(0).take(pa.array(rows[each] + a)),
-                        batch.column(1).take(pa.array(rows[each] + a)),
-                        pa.array(at.astype(np.int32)),
-                    ],
-                    names=["window", "content", "doc_id", "print", "at"],
-                )
-
-    return docs.select("doc_id", "print", "text", "parts").mapInArrow(run, "window bigint, content bigint, doc_id bigint, print bigint, at int")
-
+                one, two = Digests(words).of(begin, begin + min_words)
+                take = pa.array(rows[each] + a)
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.zeros(len(at), np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(at), pa.array(lo[each])], names=_NAMES)
 
-def _merged(spans: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for s in sorted(spans, key=lambda s: s["start_word"]):
-        if out and s["start_word"] <= out[-1]["end_word"]:
-            out[-1]["end_word"] = max(out[-1]["end_word"], s["end_word"])
-            out[-1]["source_doc_id"] = min(out[-1]["source_doc_id"], s["source_doc_id"])
-        else:
-            out.append({k: s[k] for k in ("start_word", "end_word", "source_doc_id")})
-    return out
+    return docs.select("doc_id", "print", "text", "parts").mapInArrow(run, RUNS_SCHEMA)
 
 
-SPAN = "struct<start_word: int, end_word: int, source_doc_id: bigint>"
+def _united(spans: DataFrame) -> DataFrame:
+    """(doc_id, print, spans) from (doc_id, print, start_word, end_word, source_doc_id): overlapping and touching spans become one."""
+    text = ["doc_id", "print"]
+    by_start = W.partitionBy(*text).orderBy("start_word")
+    before = F.max("end_word").over(by_start.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.when(F.col("start_word") <= before, 0).otherwise(1)
+    islands = spans.withColumn("opens", opens).withColumn("island", F.sum("opens").over(by_start.rowsBetween(W.unboundedPreceding, 0)))
+    one = islands.groupBy(*text, "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("source_doc_id").alias("source_doc_id"))
+    return one.groupBy(*text).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word", "source_doc_id"))).alias("spans"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -148,52 +161,59 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         raise ValueError(f"min_words must be at least {GRAM}")
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     docs = docs.withColumn("print", F.xxhash64("text"))
-    suffixes = checkpoint(_retained(docs, min_words))
-    shared = suffixes.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    shared = checkpoint(suffixes.join(shared, "gram", "left_semi"))
-
-    first = F.min(F.struct("doc_id", "print", "lo")).alias("first")
-    classes = checkpoint(shared.groupBy("gram", "content").agg(first, F.first("n").alias("n"), F.count("*").alias("members")))
-    varied = classes.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    heads = classes.join(varied, "gram", "left_semi").select("first.doc_id", "first.print", "content", "first.lo", "n")
-    parts = heads.groupBy("doc_id", "print").agg(F.collect_list(F.struct("content", "lo", "n")).alias("parts"))
+    retained = checkpoint(_retained(docs, min_words))
+    suffixes, suffix_table = sorted_runs(retained)
+    release(retained)
+
+    firsts = suffixes.where("varied").select(F.col("h0").alias("doc_id"), F.col("h1").alias("print"), F.col("h2").alias("lo"), F.col("payload").alias("n")).distinct()
+    parts = firsts.groupBy("doc_id", "print").agg(F.collect_list(F.struct("lo", "n")).alias("parts"))
     texts = docs.join(parts, ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
-    windows = checkpoint(_windows(texts, min_words))
-    earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "print", "at")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    later = windows.join(earliest, "window").where(F.struct("doc_id", "print", "at") > F.col("first"))
-    later = checkpoint(later.select("doc_id", "print", "at", "content", F.col("first.doc_id").alias("source")))
-
-    # members of a class after its first: all their windows repeat the first's
-    source = later.groupBy("content").agg(F.min("source").alias("source"))
-    groups = classes.where("members > 1").select("gram", "content", "first").join(source, "content", "left")
-    copies = shared.join(groups, ["gram", "content"]).where(F.struct("doc_id", "print", "lo") > F.col("first"))
-    copies = copies.select("doc_id", "print", F.col("lo").alias("start_word"), (F.col("lo") + F.col("n") - 1 + min_words).alias("end_word"), F.least("first.doc_id", "source").alias("source_doc_id"))
-    single = later.select("doc_id", "print", F.col("at").alias("start_word"), (F.col("at") + min_words).alias("end_word"), F.col("source").alias("source_doc_id"))
-
-    merge = F.udf(_merged, f"array<{SPAN}>")
-    spans = copies.unionByName(single).groupBy("doc_id", "print").agg(F.collect_set(F.struct("start_word", "end_word", "source_doc_id")).alias("spans"))
-    return spans.select("doc_id", "print", merge("spans").alias("spans"))
-
-
-def cut(text: bytes, spans: list[dict]) -> bytes:
-    """The text without the words of the spans and the white space after them."""
-    words = Words([text])
-    out, at = [], 0
-    for s in spans:
-        start = int(words.starts[s["start_word"]])
-        stop = int(words.starts[s["end_word"]]) if s["end_word"] < len(words.starts) else len(text)
-        out.append(text[at:start])
-        at = stop
-    return b"".join([*out, text[at:]])
+    extended = checkpoint(_windows(texts, min_words))
+    windows, window_table = sorted_runs(extended)
+    release(extended)
+
+    later = windows.where("copy").select(F.col("o0").alias("doc_id"), F.col("o1").alias("print"), F.col("o2").alias("at"), F.col("payload").alias("lo"), F.col("h0").alias("source"))
+    # a table, so that the join below can split the copies of one passage
+    sources = checkpoint(later.groupBy("doc_id", "print", "lo").agg(F.min("source").alias("source")).select(F.col("doc_id").alias("h0"), F.col("print").alias("h1"), F.col("lo").alias("h2"), "source"))
+    copies = suffixes.where("copy").select(*("o0 o1 o2 payload h0 h1 h2".split())).join(sources, ["h0", "h1", "h2"], "left")
+
+    def span(start: str, length: Column, source: Column) -> list[Column]:
+        start = F.col(start)
+        return [start.cast("int").alias("start_word"), (start + length).cast("int").alias("end_word"), source.alias("source_doc_id")]
+
+    whole = copies.select(F.col("o0").alias("doc_id"), F.col("o1").alias("print"), *span("o2", F.col("payload") - 1 + min_words, F.least("h0", "source")))
+    single = later.select("doc_id", "print", *span("at", F.lit(min_words), F.col("source")))
+    found = checkpoint(whole.unionByName(single))
+    release(suffix_table, window_table, sources)
+    return _united(found)
+
+
+_SPACE = r"[\x20\x09-\x0D]"
+
+
+def _without(text: Column, spans: Column) -> Column:
+    """The text without the words of the spans and the white space behind them."""
+    lead = F.regexp_extract(text, f"^{_SPACE}*", 0)
+    # each word with the white space behind it
+    words = F.split(F.substr(text, F.char_length(lead) + 1), f"(?<={_SPACE})(?=[^\\x20\\x09-\\x0D])")
+    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end_word"]))
+    ends = F.concat(F.transform(spans, lambda s: s["start_word"]), F.array(F.size(words)))
+    kept = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda g: F.array_join(F.slice(words, g["a"] + 1, F.greatest(g["b"] - g["a"], F.lit(0))), ""))
+    return F.concat(lead, F.array_join(kept, ""))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated spans cut from the text; every row and column stays."""
-    found = repeated_passages(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.col("spans").alias("__spans"))
-    joined = docs.join(found, (docs[id_col].cast("bigint") == F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__print")), "left")
-    cutter = F.udf(lambda t, s: cut(t.encode(), s).decode() if s else t, "string")
-    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cutter(F.col(text_col), F.col("__spans")))
-    return joined.withColumn(text_col, text).select(*(F.col(f"`{c}`") for c in docs.columns))
+    taken = {c.lower() for c in docs.columns}
+    names = []
+    for name in ("__id", "__print", "__spans"):
+        while name.lower() in taken:
+            name += "_"
+        names.append(name)
+    found = repeated_passages(docs, id_col, text_col, min_words).select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "print", "spans"), names, strict=True)))
+    joined = docs.join(found, (docs[id_col].cast("bigint") == F.col(names[0])) & (F.xxhash64(docs[text_col].cast("string")) == F.col(names[1])), "left")
+    text, spans = F.col(f"`{text_col}`"), F.col(names[2])
+    return joined.withColumn(text_col, F.when(spans.isNull(), text).otherwise(_without(text.cast("string"), spans))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

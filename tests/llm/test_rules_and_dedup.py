@@ -6,7 +6,7 @@ import re
 import numpy as np
 from checks import rows, same
 
-from joinwright.llm import near_dedup, quality_rules, suffix_dedup
+from joinwright.llm import near_dedup, quality_rules, runs, suffix_dedup
 from joinwright.llm.components import components
 from joinwright.llm.textcore import Words
 
@@ -243,5 +243,45 @@ def test_repeats_are_cut(make):
     assert suffix_dedup.remove_repeats(make([])).count() == 0
 
 
+def test_sorted_runs_equal_brute_force(spark):
+    draw = random.Random(8)
+    keys = [(1, 1, 1)] * 300 + [(1, 2, draw.randrange(3)) for _ in range(60)] + [(draw.randrange(40), draw.randrange(2), 0) for _ in range(120)] + [(-7, 5, 5)] * 40
+    data = [(*k, i % 97, -i, i * 3, i) for i, k in enumerate(keys)]
+    data += data[:20]
+    df = spark.createDataFrame(data, ", ".join(f"{c} bigint" for c in runs.COLUMNS)).repartition(3)
+    first, groups = {}, {}
+    for r in data:
+        first[r[:3]] = min(first.get(r[:3], r[3:6]), r[3:6])
+        groups.setdefault(r[0], []).append(r[:3])
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    for partitions in (1, 7, 60):
+        try:
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+            found, table = runs.sorted_runs(df)
+            got = [tuple(r) for r in found.select(*runs.COLUMNS, *runs.HEAD, "copy", "varied").collect()]
+            assert partitions == 1 or table.select("part").distinct().count() > partitions // 2
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            spark.conf.set("spark.sql.shuffle.partitions", before[0])
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+        assert all(r[7:10] == first[r[:3]] and r[10] == (r[3:6] != first[r[:3]]) for r in got)
+        want = [r for r in data if len(groups[r[0]]) > 1]
+        assert sorted(r[:7] for r in got if len(groups[r[0]]) > 1) == sorted(want) and len(got) - len(want) <= 2 * partitions
+        assert {r[:3] for r in got if r[11]} == {k for k in first if len(set(groups[k[0]])) > 1}
+    empty, _ = runs.sorted_runs(df.limit(0))
+    assert empty.count() == 0
+
+
+def test_repeats_in_texts_of_odd_white_space_and_great_length(make):
+    passage = [f"p{i}" for i in range(60)]
+    texts = ["\n\t" + "  ".join(passage) + "\r\n", "x " + "\x0b".join(passage), " ".join(f"u{i % 5003}" for i in range(40_000))]
+    found = suffix_dedup.repeated_passages(make(list(enumerate(texts))))
+    assert spans(found) == {(1, 1, 61, 0), (2, 5003, 40_000, 2)}
+    cut = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(make(list(enumerate(texts)))).collect()}
+    assert cut == {0: texts[0], 1: "x ", 2: " ".join(f"u{i}" for i in range(5003)) + " "}
+
+
 def test_suffix_query(spark, sf, oracle):
     same(suffix_dedup.op2_suffix_dedup(spark, sf), oracle(suffix_dedup.ORACLE))

@@ -14,30 +14,24 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps: each replaces edges by as many
     or fewer edges that point at smaller nodes, so a hub never gathers its
     neighbours in one row and the number of rounds grows with the logarithm of
-    the longest path.  Minima are aggregated before they are shuffled.
+    the longest path.  Minima are aggregated before they are shuffled and written as
+    tables, so that the joins with them can split the edges of a hub.
     """
     links = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         # large star: larger neighbours of a go to the least of a's neighbourhood
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = checkpoint(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        release(links, least)
         # small star: smaller neighbours, and a itself, go to the least of them
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(down, "a")
-            .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-            .select("e.a", "e.b")
-            .where("a <> b")
-            .distinct()
-        )
-        after = checkpoint(small)
+        down = checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
+        moved = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        links = checkpoint(moved.select("e.a", "e.b").where("a <> b").distinct())
+        release(large, down)
         # a forest of stars: every node has one parent and no parent has one
-        open_ = after.groupBy("a").count().where("count > 1").select("a").unionByName(after.select("a").join(after.select(F.col("b").alias("a")), "a", "left_semi"))
-        done = open_.isEmpty()
-        release(links)
-        links = after
-        if done:
+        parents = links.select(F.col("b").alias("a")).distinct()
+        if links.groupBy("a").count().where("count > 1").select("a").unionByName(links.select("a").join(parents, "a", "left_semi")).isEmpty():
             break
     roots = links.select(F.col("b").alias("node")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -1,23 +1,27 @@
 """Near-duplicate documents: MinHash bands, odd-sketch verification, exact confirmation.
 
-1. Equal shingle sets collapse to one representative (the smallest id).
+1. Equal shingle sets collapse to one representative (the smallest id), the first
+   of a run of equal set fingerprints in a sorted table (``runs``).
 2. Each representative gets MinHash values, cut into bands, and an *odd sketch*:
    the one-permutation MinHash samples (bin, minimum) are folded into a parity
    bitmap, so the population count of two bitmaps' XOR estimates how many
    samples differ.  Near the threshold few samples differ and the estimate is
    sharp.
 3. Members of a band bucket are paired with the smallest member of their bucket
-   (a star, never all pairs); the odd sketch, in small sets a bitmap of all
-   shingles, drops pairs that cannot reach the threshold, and the remaining
-   pairs are confirmed on full shingle sets.
-4. Buckets that the stars have not joined into one component are searched
+   and with the one before them in it (a star and a chain, never all pairs); the odd
+   sketch, in small sets a bitmap of all shingles, drops pairs that cannot reach
+   the threshold, and the remaining pairs are confirmed on full shingle sets.
+4. Buckets that these links have not joined into one component are searched
    block by block: members of *different* components whose odd sketches agree
    are confirmed on full sets too, so no link between components is lost to the
    star shortcut.
 5. Confirmed links give components by large-star/small-star rounds.
 
 The number of bands is chosen so that a pair at the threshold shares no band
-with probability below 1e-5.  Nothing is collected to the driver.
+with probability below 1e-5.  Nothing is collected to the driver.  Buckets are
+runs of a sorted table, and sides that are aggregated by bucket or hub are written
+as tables, so that a bucket, a hub or a group of copies with a third of all rows
+is split over many tasks.
 
 Edge cases: null or empty texts and texts without words have the empty set, are
 linked with nothing and kept; fewer words than a shingle give one shingle of the
@@ -39,7 +43,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinwright.llm.components import components
-from joinwright.llm.storage import checkpoint
+from joinwright.llm.runs import sorted_runs
+from joinwright.llm.storage import checkpoint, release
 from joinwright.llm.textcore import ASCII_LOWER, IDENTITY, Words, byte_texts, mix, passes, signed, window_hashes
 
 ROWS = 4
@@ -187,14 +192,14 @@ def _signatures(docs: DataFrame, size: int, fold_case: bool, signer: Signer) ->
 
 
 def _sets(docs: DataFrame, size: int, fold_case: bool) -> DataFrame:
-    """(doc_id, shingles) with sorted distinct shingles."""
+    """(doc_id, shingles) with sorted distinct shingles, for (doc_id, text)."""
 
     def run(batches):
         for batch in batches:
             sets = [signed(x) for x in shingle_sets(byte_texts(batch.column(1)), size, fold_case)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,34 +214,27 @@ def _lanes(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), 2 * LANES)
 
 
-def _star_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Each member of a bucket with two hubs of it, where their odd sketches agree.
+def _agreeing(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose odd sketches agree."""
 
-    The smallest id is the hub that most buckets of a group share; the other hub
-    is drawn by bucket, so a large group is joined through many of its members.
-    """
-    sketch = F.struct("doc_id", "sketch", "samples", "n_shingles")
-    hubs = members.groupBy("bucket").agg(F.min(sketch).alias("least"), F.min_by(sketch, F.xxhash64("doc_id", "bucket")).alias("drawn"))
-    pairs = members.join(hubs, "bucket").withColumn("hub", F.explode(F.array_distinct(F.array("least", "drawn")))).where("doc_id <> hub.doc_id")
-
-    def agree(s: pd.Series, m: pd.Series, n: pd.Series, hub_s: pd.Series, hub_m: pd.Series, hub_n: pd.Series) -> pd.Series:
-        return pd.Series(may_link(_lanes(s), m.to_numpy(), n.to_numpy(), _lanes(hub_s), hub_m.to_numpy(), hub_n.to_numpy(), threshold))
+    def agree(s: pd.Series, m: pd.Series, n: pd.Series, other_s: pd.Series, other_m: pd.Series, other_n: pd.Series) -> pd.Series:
+        return pd.Series(may_link(_lanes(s), m.to_numpy(), n.to_numpy(), _lanes(other_s), other_m.to_numpy(), other_n.to_numpy(), threshold))
 
     agrees = F.pandas_udf(agree, "boolean")
-    kept = pairs.where(agrees("sketch", "samples", "n_shingles", "hub.sketch", "hub.samples", "hub.n_shingles"))
-    return kept.select(F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b")).distinct()
+    columns = ["sketch", "samples", "n_shingles"]
+    for side in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
+    return pairs.where(agrees(*(f"{side}_{c}" for side in ("a", "b") for c in columns))).select("a", "b").distinct()
 
 
 def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs of a bucket in different components whose odd sketches agree.
 
-    ``members(bucket, doc_id, component, sketch, samples, n_shingles, bands)``.  A bucket is
-    dealt to blocks; each task holds two blocks of it at most.  A pair that
+    ``members(bucket, n, doc_id, component, sketch, samples, n_shingles, bands)``.  A bucket is
+    dealt to n blocks; each task holds two blocks of it at most.  A pair that
     shares several buckets is given by that of its first shared band alone.
     """
-    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
-    dealt = members.join(blocks, "bucket").withColumn("own", own)
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "sketch", "samples", "n_shingles", "bands")
 
@@ -279,43 +277,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signer = Signer(bands_for(threshold))
     signed_docs = checkpoint(_signatures(docs, shingle, fold_case, signer))
     known = signed_docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    zero = F.lit(0).cast("bigint")
 
     # equal sets: one representative
-    least = known.groupBy("set_lo", "set_hi", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    rep_of = known.select("doc_id", "set_lo", "set_hi", "n_shingles").distinct().join(least, ["set_lo", "set_hi", "n_shingles"]).select("doc_id", "rep")
-    reps = known.join(least.select("set_lo", "set_hi", "n_shingles", F.col("rep").alias("doc_id")), ["set_lo", "set_hi", "n_shingles", "doc_id"], "left_semi")
-    reps = reps.dropDuplicates(["doc_id", "set_lo", "set_hi"])
+    equal, table = sorted_runs(known.select(F.col("set_lo").alias("k0"), F.col("set_hi").alias("k1"), F.col("n_shingles").alias("k2"), F.col("doc_id").alias("o0"), zero.alias("o1"), zero.alias("o2"), zero.alias("payload")))
+    copies = checkpoint(equal.where("copy").select(F.col("o0").alias("doc_id"), F.col("k0").alias("set_lo"), F.col("k1").alias("set_hi"), F.col("h0").alias("rep")).distinct())
+    release(table)
+    reps = known.join(copies, ["doc_id", "set_lo", "set_hi"], "left_anti").dropDuplicates(["doc_id", "set_lo", "set_hi"])
 
     # band buckets with two members or more
-    banded = reps.select("doc_id", F.explode("bands").alias("bucket")).distinct()
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    slots = checkpoint(banded.join(shared, "bucket", "left_semi"))
-    wanted = slots.select("doc_id").distinct()
+    banded = checkpoint(reps.select(F.explode("bands").alias("k0"), zero.alias("k1"), zero.alias("k2"), F.col("doc_id").alias("o0"), zero.alias("o1"), zero.alias("o2"), zero.alias("payload")))
+    slots, slot_table = sorted_runs(banded)
+    release(banded)
+    wanted = checkpoint(slots.select(F.col("o0").alias("doc_id")).distinct())
     # where an id comes with several texts, each text is compared
     sketches = checkpoint(reps.select("doc_id", "sketch", "samples", "n_shingles", "bands").join(wanted, "doc_id", "left_semi"))
-    sets = checkpoint(_sets(docs.join(wanted, "doc_id", "left_semi"), shingle, fold_case).distinct())
+    texts = docs.withColumn("print", F.xxhash64("text")).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "print"])
+    sets = checkpoint(_sets(texts, shingle, fold_case))
 
-    members = slots.join(sketches.drop("bands"), "doc_id")
-    links = checkpoint(_confirm(_star_pairs(members, threshold), sets, percent))
+    partner = F.explode(F.array_distinct(F.array_compact(F.array("h0", "q0"))))
+    pairs = slots.select("o0", partner.alias("other")).where("o0 <> other").select(F.greatest("o0", "other").alias("a"), F.least("o0", "other").alias("b")).distinct()
+    links = checkpoint(_confirm(_agreeing(pairs, sketches, threshold), sets, percent))
     part = components(links)
 
     # buckets that are not yet one component
-    labelled = slots.join(part, slots["doc_id"] == part["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = labelled.join(mixed, "bucket", "left_semi").join(sketches, "doc_id")
-    more = _confirm(_cross_pairs(open_, threshold), sets, percent)
-    links = links.unionByName(more).unionByName(rep_of.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-
-    found = components(links)
-    joined = signed_docs.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
-    component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    labelled = slots.select(F.col("k0").alias("bucket"), F.col("o0").alias("doc_id")).distinct().join(part, F.col("doc_id") == F.col("node"), "left")
+    labelled = checkpoint(labelled.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    release(slot_table)
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    mixed = checkpoint(mixed.where("lo <> hi").select("bucket", "n"))
+    more = checkpoint(_confirm(_cross_pairs(labelled.join(mixed, "bucket").join(sketches, "doc_id"), threshold), sets, percent))
+    release(sets, sketches, labelled, mixed, wanted)
+
+    found = components(links.unionByName(more).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    release(links, more, copies)
+    sized = signed_docs.select("doc_id", "n_shingles")
+    joined = sized.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # rows without an id are linked with nothing, and do not meet in one task
+    alone = sized.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("bigint"))
+    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that are the first of their component, columns unchanged."""
     gone = near_duplicates(docs, id_col=id_col, **options).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    key = docs[id_col].cast("bigint")
+    return docs.where(key.isNotNull()).join(gone, key == gone["__gone"], "left_anti").unionByName(docs.where(key.isNull()))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ class _Partition:
         self.part = part
         self.before: tuple | None = None
         self.head = [0, 0, 0]
-        self.runs = 0
+        self.last = self.runs = 0
 
     def step(self, table: dict[str, np.ndarray], last: bool) -> pa.RecordBatch:
         """Result rows of ``table`` without its last row, whose next neighbour is unknown; with it if it ends the partition."""
@@ -56,8 +56,10 @@ class _Partition:
         keep[out:] = False
         if out:
             self.before, self.head, self.runs = tuple(int(table[c][out - 1]) for c in KEYS), [int(h[out - 1]) for h in head], int(run[out - 1])
-        columns = [table[c][keep] for c in COLUMNS] + [h[keep] for h in head] + [fresh[keep], varied[keep], run[keep] == 1, ends[keep], np.full(int(keep.sum()), self.part, np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[*COLUMNS, *HEAD, "fresh", "varied", "opens", "ends", "part"])
+        ahead = pa.array(np.append(np.int64(self.last), table["o0"][:-1])[keep], mask=fresh[keep])
+        self.last = int(table["o0"][out - 1]) if out else self.last
+        columns = [table[c][keep] for c in COLUMNS] + [h[keep] for h in head] + [ahead, fresh[keep], varied[keep], run[keep] == 1, ends[keep], np.full(int(keep.sum()), self.part, np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[*COLUMNS, *HEAD, "q0", "fresh", "varied", "opens", "ends", "part"])
 
 
 def _compare(batches):
@@ -75,7 +77,7 @@ def _compare(batches):
 
 
 def _settled(facts: list) -> list[tuple]:
-    """(part, carried head or None, first row varied, last row varied) from the partitions' first and last rows, in order."""
+    """(part, carried head and q0 or None, first row varied, last row varied) from the partitions' first and last rows, in order."""
     out, before = [], None
     for i, (part, first, last) in enumerate(facts):
         key, end = tuple(first)[:3], tuple(last)[:3]
@@ -84,8 +86,8 @@ def _settled(facts: list) -> list[tuple]:
         carried = before[1] if before and before[0] == key else None
         if carried and key == end:
             head = carried
-        out.append((part, *(carried or (None, None, None)), before is not None and before[0][0] == key[0] and before[0] != key, after is not None and after[0] == end[0] and after != end))
-        before = (end, head)
+        out.append((part, *((*carried, before[2]) if carried else (None,) * 4), before is not None and before[0][0] == key[0] and before[0] != key, after is not None and after[0] == end[0] and after != end))
+        before = (end, head, last[3])
     return out
 
 
@@ -95,19 +97,20 @@ def sorted_runs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``df`` has the bigint columns COLUMNS, none null: keys k0 to k2, an order o0
     to o2 within equal keys, and a payload; it should be a table, as it is read
     twice.  The result has those and h0 to h2, the order columns of the first row
-    with equal keys; ``copy``, whether that is another row; and ``varied``, which
+    with equal keys; q0, the o0 of the row before it in its run, null for the first; ``copy``, whether that is another row; and ``varied``, which
     marks some row of each run whose k0 has other runs.  A few rows of a single k0 may
     stay.  The second result is the table behind it, to be released.
     """
-    schema = ", ".join(f"{c} bigint" for c in (*COLUMNS, *HEAD)) + ", fresh boolean, varied boolean, opens boolean, ends boolean, part int"
+    schema = ", ".join(f"{c} bigint" for c in (*COLUMNS, *HEAD, "q0")) + ", fresh boolean, varied boolean, opens boolean, ends boolean, part int"
     order = [*KEYS, *ORDER]
     table = checkpoint(df.select(*COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare, schema))
     facts = table.where("(opens AND fresh) OR ends").groupBy("part").agg(F.min(F.struct(*order)), F.max(F.struct(*order, *HEAD)))
     rows = _settled(sorted(tuple(r) for r in facts.collect()))  # a row for each partition
-    edges = df.sparkSession.createDataFrame(rows, "part int, c0 bigint, c1 bigint, c2 bigint, first_varied boolean, last_varied boolean")
+    edges = df.sparkSession.createDataFrame(rows, "part int, c0 bigint, c1 bigint, c2 bigint, l0 bigint, first_varied boolean, last_varied boolean")
     carried = F.col("opens") & F.col("c0").isNotNull()
     head = [F.when(carried, F.col(f"c{i}")).otherwise(F.col(h)).alias(h) for i, h in enumerate(HEAD)]
     varied = F.col("varied") | (F.col("opens") & F.col("fresh") & F.col("first_varied")) | (F.col("ends") & F.col("last_varied"))
-    found = table.join(F.broadcast(edges), "part").select(*COLUMNS, *head, varied.alias("varied"))
+    ahead = F.when(F.col("opens") & F.col("fresh"), F.col("l0")).otherwise(F.col("q0")).alias("q0")
+    found = table.join(F.broadcast(edges), "part").select(*COLUMNS, *head, ahead, varied.alias("varied"))
     copy = F.struct(*ORDER) != F.struct(*(F.col(h).alias(o) for h, o in zip(HEAD, ORDER, strict=True)))
     return found.withColumn("copy", copy), table

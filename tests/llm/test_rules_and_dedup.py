@@ -260,7 +260,7 @@ def test_sorted_runs_equal_brute_force(spark):
             spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
             found, table = runs.sorted_runs(df)
-            got = [tuple(r) for r in found.select(*runs.COLUMNS, *runs.HEAD, "copy", "varied").collect()]
+            got = [tuple(r) for r in found.select(*runs.COLUMNS, *runs.HEAD, "copy", "varied", "q0").collect()]
             assert partitions == 1 or table.select("part").distinct().count() > partitions // 2
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -269,6 +269,9 @@ def test_sorted_runs_equal_brute_force(spark):
         assert all(r[7:10] == first[r[:3]] and r[10] == (r[3:6] != first[r[:3]]) for r in got)
         want = [r for r in data if len(groups[r[0]]) > 1]
         assert sorted(r[:7] for r in got if len(groups[r[0]]) > 1) == sorted(want) and len(got) - len(want) <= 2 * partitions
+        for key in first:
+            run = sorted(r[3] for r in data if r[:3] == key)
+            assert len(run) < 2 or sorted(((r[3], r[12]) for r in got if r[:3] == key), key=repr) == sorted(zip(run, [None, *run]), key=repr)
         assert {r[:3] for r in got if r[11]} == {k for k in first if len(set(groups[k[0]])) > 1}
     empty, _ = runs.sorted_runs(df.limit(0))
     assert empty.count() == 0

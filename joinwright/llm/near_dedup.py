@@ -55,8 +55,8 @@ LANES = SKETCH_BITS // 64
 DEVIATIONS = 5.0
 #: Pairs with this many shingles together, or fewer, are dropped by a bound that no link breaks.
 SMALL = 1024
-#: Members of an unresolved bucket compared in one task.
-BLOCK = 1024
+#: A bucket of n members that is not yet one component is dealt to blocks of 8 * sqrt(n) members, within these bounds.
+LEAST_BLOCK, MOST_BLOCK = 256, 2048
 
 _U = np.uint64
 
@@ -227,49 +227,88 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFr
     return pairs.where(agrees(*(f"{side}_{c}" for side in ("a", "b") for c in columns))).select("a", "b").distinct()
 
 
+def _blocks(labelled: DataFrame) -> DataFrame:
+    """(bucket, main, p, q) of the buckets with several components.
+
+    ``main`` is the bucket's largest component, which lies in q blocks; its other
+    members lie in p blocks.  A bucket of one block's size is one block.
+    """
+    parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(8 * F.sqrt("n"))))
+    whole = F.col("n") <= LEAST_BLOCK
+    p, q = F.ceil((F.col("n") - F.col("m.n")) / block).cast("int"), F.ceil(F.col("m.n") / block).cast("int")
+    return sizes.select("bucket", F.when(~whole, F.col("m.component")).alias("main"), F.when(whole, 1).otherwise(p).alias("p"), F.when(whole, 0).otherwise(q).alias("q"))
+
+
 def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs of a bucket in different components whose odd sketches agree.
 
-    ``members(bucket, n, doc_id, component, sketch, samples, n_shingles, bands)``.  A bucket is
-    dealt to n blocks; each task holds two blocks of it at most.  A pair that
-    shares several buckets is given by that of its first shared band alone.
+    ``members(bucket, main, p, q, doc_id, component, sketch, samples, n_shingles, bands)``.
+    Blocks outside the bucket's main component meet all its blocks, two blocks in a
+    task; blocks of the main component never meet each other.  A pair that shares
+    several buckets is given by that of its first shared band alone.
     """
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "sketch", "samples", "n_shingles", "bands")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, own, lanes = group["doc_id"].to_numpy(), group["own"].to_numpy(), _lanes(group["sketch"])
-        m, n = group["samples"].to_numpy(), group["n_shingles"].to_numpy()
-        bucket, bands = group["bucket"].iat[0], np.stack(group["bands"].to_numpy())
-        _, part, sizes = np.unique(group["component"].to_numpy(), return_inverse=True, return_counts=True)
-        block = np.where(own == own.max(), 1, 0) if own.max() != own.min() else None
-        # pairs inside the largest component need no look; every other pair has a member outside it
-        outside = np.flatnonzero(part != sizes.argmax())
-        rank = np.full(len(ids), len(ids))
-        rank[outside] = np.arange(len(outside))
-        a, b = [], []
-        step = max(1, (1 << 15) // len(ids))
-        for at in range(0, len(outside), step):
-            x = outside[at : at + step]
-            open_ = (part[x, None] != part) & (rank[x, None] < rank)
-            if block is not None:
-                open_ &= block[x, None] != block
-            i, j = np.nonzero(open_)
-            i = x[i]
-            hit = np.flatnonzero(may_link(lanes[i], m[i], n[i], lanes[j], m[j], n[j], threshold))
-            shared = bands[i[hit]] == bands[j[hit]]
-            hit = hit[bands[i[hit], shared.argmax(axis=1)] == bucket]
-            a.append(np.maximum(ids[i[hit]], ids[j[hit]]))
-            b.append(np.minimum(ids[i[hit]], ids[j[hit]]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)} if a else {"a": [], "b": []}, dtype="int64")
-
-    # a fixed number of partitions: the work of a block is far larger than its bytes, by which AQE would coalesce
-    tasks = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = dealt.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+    inside = F.col("component").eqNullSafe(F.col("main"))
+    block = F.pmod(F.xxhash64("doc_id"), F.when(inside, F.col("q")).otherwise(F.col("p"))).cast("int") + F.when(inside, F.col("p")).otherwise(0)
+    dealt = members.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1 + F.when(inside, 0).otherwise(F.col("q")))))
+    key = ["bucket", "i", "j"]
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "samples", "n_shingles", "sketch", "bands")
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+            # the last group may go on in the next batch
+            group = np.stack([table.column(c).to_numpy() for c in key])
+            cut = int(np.flatnonzero((group != group[:, -1:]).any(axis=0)).max(initial=-1)) + 1 if table.num_rows else 0
+            rest = table.slice(cut)
+            if cut:
+                yield _compared(table.slice(0, cut), threshold)
+        if rest is not None and rest.num_rows:
+            yield _compared(rest, threshold)
+
+    found = dealt.repartition(*key).sortWithinPartitions(*key, "own").mapInArrow(run, "a bigint, b bigint")
     return found.distinct()
 
 
+#: Pairs of sketches compared in one numpy pass.
+PAIRS = 1 << 13
+
+
+def _compared(table: pa.Table, threshold: float) -> pa.RecordBatch:
+    """The pairs of whole groups, sorted by (bucket, i, j, own), whose components differ and whose sketches agree."""
+    bucket, i, j, own, ids, part, m, n = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "own", "doc_id", "component", "samples", "n_shingles"))
+    lanes, bands = _lanes(table.column("sketch").to_pylist()), table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    rows = np.arange(len(ids))
+    opens = np.ones(len(ids), bool)
+    opens[1:] = (np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
+    firsts = np.flatnonzero(opens)
+    ends = np.append(firsts[1:], len(ids))[np.cumsum(opens) - 1]
+    # of two blocks, rows of block i come first and meet those of block j; in one block, a row meets those behind it
+    low = np.add.reduceat((own == i).astype(np.int64), firsts)[np.cumsum(opens) - 1] + firsts[np.cumsum(opens) - 1]
+    start = np.where(i == j, rows + 1, low)
+    count = np.where((i == j) | (own == i), ends - start, 0)
+    upto = np.cumsum(count)
+    a, b, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while at < len(ids):
+        # at least one row, and as many as make up a pass
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+        some = count[at:stop]
+        x = np.repeat(rows[at:stop], some)
+        y = np.repeat(start[at:stop] - (np.cumsum(some) - some), some) + np.arange(len(x))
+        at = stop
+        apart = part[x] != part[y]
+        x, y = x[apart], y[apart]
+        hit = may_link(lanes[x], m[x], n[x], lanes[y], m[y], n[y], threshold)
+        x, y = x[hit], y[hit]
+        first = (bands[x] == bands[y]).argmax(axis=1)
+        mine = bands[x, first] == bucket[x]
+        a.append(np.maximum(ids[x], ids[y])[mine])
+        b.append(np.minimum(ids[x], ids[y])[mine])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, fold_case: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -304,8 +343,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = slots.select(F.col("k0").alias("bucket"), F.col("o0").alias("doc_id")).distinct().join(part, F.col("doc_id") == F.col("node"), "left")
     labelled = checkpoint(labelled.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     release(slot_table)
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    mixed = checkpoint(mixed.where("lo <> hi").select("bucket", "n"))
+    mixed = checkpoint(_blocks(labelled))
     more = checkpoint(_confirm(_cross_pairs(labelled.join(mixed, "bucket").join(sketches, "doc_id"), threshold), sets, percent))
     release(sets, sketches, labelled, mixed, wanted)
 

@@ -134,7 +134,8 @@ def test_near_duplicates_nulls_repeats_empty(make):
 def test_blocks_lose_no_pair(make, monkeypatch):
     draw = random.Random(4)
     docs = list(enumerate(near_copies(draw, 120, 40)))
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "MOST_BLOCK", 16)
     found = near_dedup.near_duplicates(make(docs), shingle=3, percent=85).collect()
     assert {r.doc_id: r.component_id for r in found} == {i: c for i, (_, c) in brute_components(docs, 3, 85).items()}
 

@@ -168,22 +168,78 @@ def test_shards(make, clashing):
     assert sharding.assign(make([])).count() == 0
 
 
+def brute_place(key, weights, new_weight=None):
+    """Region, rack and shard of a key, and its shard once one more has joined."""
+    import hashlib
+    import math
+
+    def first(node, children):
+        times = {}
+        for c, w in children.items():
+            digest = hashlib.md5(f"{key}:{node}/{c // 4}".encode()).hexdigest()
+            times[c] = -math.log((int(digest[8 * (c % 4) : 8 * (c % 4) + 8], 16) + 0.5) / 2**32) / w
+        return min(times, key=times.get), times
+
+    total = {}
+    for s, w in enumerate(weights):
+        for node in (("r", s // 20), ("k", s // 4), ("s", s)):
+            total[node] = total.get(node, 0) + w
+    regions = {r: total["r", r] for r in range(-(-len(weights) // 20)) if total["r", r]}
+    region, times = first("", regions)
+    rack, _ = first(f"r{region}", {k: total["k", k] for k in range(5 * region, 5 * region + 5) if total.get(("k", k))})
+    shard, _ = first(f"k{rack}", {s: total["s", s] for s in range(4 * rack, 4 * rack + 4) if total.get(("s", s))})
+    new = max(len(weights) // 20, max(regions) + 1)
+    moves = new_weight and first("", {new: new_weight})[1][new] < times[region]
+    return region, rack, shard, len(weights) if moves else shard
+
+
+def test_descent_equals_brute_force(make):
+    df = make([(i, "x") for i in range(1500)])
+    draw = random.Random(2)
+    for weights in ([1.0] * 40, [draw.choice([0.0, 0.5, 1.0, 4.0]) for _ in range(40)], [2.0] * 7, [1.0] * 46):
+        for r in sharding.assign(df, weights, new_weight=1.5).collect():
+            assert (r.region, r.rack, r.shard, r.grown_shard) == brute_place(r.doc_id, weights, 1.5)
+    grown = {r.doc_id: r.grown_shard for r in sharding.assign(df).collect()}
+    assert grown == {r.doc_id: r.shard for r in sharding.assign(df, [1.0] * 41).collect()} and 40 in grown.values()
+    for bad in ([-1.0, 1.0], [0.0]):
+        with pytest.raises(ValueError):
+            sharding.assign(df, bad)
+
+
 def test_weights_confine_movement(make):
-    df = make([(i, "x") for i in range(3000)])
+    df = make([(i, "x") for i in range(6000)])
 
     def places(weights):
         return {r.doc_id: (r.region, r.rack, r.shard) for r in sharding.assign(df, weights).collect()}
 
     even = places([1.0] * 40)
-    more = places([1.0] * 13 + [3.0] + [1.0] * 26)
-    none = places([1.0] * 13 + [0.0] + [1.0] * 26)
-    moved = [i for i in even if even[i] != more[i]]
-    assert moved and all(more[i][2] == 13 for i in moved)
-    assert all(even[i][2] == 13 for i in even if even[i] != none[i]) and 13 not in {p[2] for p in none.values()}
-    assert 1.8 < Counter(p[2] for p in more.values())[13] / Counter(p[2] for p in even.values())[13] < 4
-    for bad in ([-1.0, 1.0], [0.0]):
-        with pytest.raises(ValueError):
-            sharding.assign(df, bad)
+    shares = [Counter(p[level] for p in even.values()) for level in range(3)]
+    assert [len(s) for s in shares] == [2, 10, 40] and all(0.55 < n * len(s) / 6000 < 1.5 for s in shares for n in s.values())
+    for weight in (3.0, 0.0):
+        other = places([1.0] * 13 + [weight] + [1.0] * 26)
+        moved = {i: (even[i], other[i]) for i in even if even[i] != other[i]}
+        # shard 13 lies in region 0, rack 3
+        for before, after in moved.values():
+            if before[0] != after[0]:
+                assert (after if weight else before)[0] == 0
+            elif before[1] != after[1]:
+                assert before[0] == 0 and (after if weight else before)[1] == 3
+            else:
+                assert before[1] == 3 and (after if weight else before)[2] == 13
+        assert {b[0] != a[0] for b, a in moved.values()} == {b[1] != a[1] for b, a in moved.values()} == {True, False}
+    # rows in the other region that stay there keep rack and shard
+    assert 13 not in {p[2] for p in other.values()}
+
+
+def test_slots_of_rows_that_share_an_id_are_spread(make):
+    found = sharding.assign(make([(None, f"t{i}") for i in range(300)] + [(7, "same")] * 20)).collect()
+    for key in (None, 7):
+        mine = [r for r in found if r.doc_id == key]
+        assert len({r.shard for r in mine}) == 1
+    by = {}
+    for r in found:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
 def test_sharding_query(spark, sf, oracle):

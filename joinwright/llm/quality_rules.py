@@ -5,12 +5,14 @@ only ones a longer repeat can use, so a suffix array is built over those runs
 alone (prefix doubling over word ranks, all texts of a pass at once).  Longest
 common prefixes of neighbouring suffixes give the maximal repeated substrings;
 their spans are united, and a document is rejected when the united spans cover
-too large a part of it or a single repeat is too long.
+too many of its words' characters (the base rule counts words) or a single repeat
+is too long.
 
 Edge cases: a null or empty text has no words, so it fails the base rule
 ``n_words < 20``; repeated rows are judged one by one and get equal verdicts;
 an empty table gives an empty table; other columns, null ids included, pass
-through unchanged.
+through unchanged.  A very long text is a pass of its own, with a fixed number of
+arrays as long as its words and, in the suffix array, as its repeated words.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinwright.llm.textcore import Words, annotate, mix
+from joinwright.llm.textcore import Spans, Words, annotate, mix
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -32,7 +34,7 @@ _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 _STARTS_CHAR = (np.arange(256) & 0xC0) != 0x80
 
-FIELDS = [(n, "bigint") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat", "n_repeats")]
+FIELDS = [(n, "bigint") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "covered_chars", "longest_repeat", "n_repeats")]
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:
@@ -75,35 +77,31 @@ class SuffixArray:
     def __init__(self, symbols: np.ndarray, string: np.ndarray):
         n = len(symbols)
         ends = np.searchsorted(string, string, side="right")
-        levels, k = [_dense(symbols)], 1
+        rank, k = _dense(symbols), 1
         longest = int((ends - np.arange(n)).max(initial=0))
-        while k < longest and levels[-1].max(initial=-1) + 1 < n:
+        while k < longest and rank.max(initial=-1) + 1 < n:
             at = np.arange(n) + k
-            second = np.where(at < ends, levels[-1][np.minimum(at, n - 1)], -1 - string)
-            levels.append(_dense(levels[-1], second))
+            rank = _dense(rank, np.where(at < ends, rank[np.minimum(at, n - 1)], -1 - string))
             k *= 2
-        self.order = np.argsort(levels[-1], kind="stable")
+        self.order = np.argsort(rank, kind="stable")
         left, right = self.order[:-1].copy(), self.order[1:].copy()
         room = np.minimum(ends[left] - left, ends[right] - right)
+        # fingerprints of spans of any length come from one running sum
+        spans = Spans(mix(symbols.astype(_U) + _U(1)))
         lcp = np.zeros(max(n - 1, 0), np.int64)
-        for level in range(len(levels) - 1, -1, -1):
-            rank, step = levels[level], 1 << level
-            i, j = left + lcp, right + lcp
-            fits = lcp + step <= room
-            hit = fits & (rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)])
-            lcp[hit] += step
-            # the top level may match more than once in a row
-            while level == len(levels) - 1 and hit.any():
-                i, j = left + lcp, right + lcp
-                hit = hit & (lcp + step <= room) & (rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)])
-                lcp[hit] += step
+        step = 1 << max(longest - 1, 0).bit_length()
+        while step:
+            at = np.flatnonzero(lcp + step <= room)
+            i, j = left[at] + lcp[at], right[at] + lcp[at]
+            lcp[at[spans(i, i + step) == spans(j, j + step)]] += step
+            step //= 2
         self.lcp = lcp
 
 
 def repetition(words: Words, window: int = WINDOW) -> list[np.ndarray]:
-    """Per text: words in repeated windows, words covered by maximal repeats, longest repeat, number of LCP intervals."""
+    """Per text: words in repeated windows, words and characters covered by maximal repeats, longest repeat, number of LCP intervals."""
     n_texts = len(words.counts)
-    out = [np.zeros(n_texts, np.int64) for _ in range(4)]
+    out = [np.zeros(n_texts, np.int64) for _ in range(5)]
     text = words.text_of_word()
     at, hashes = words.windows(window)
     if not len(at):
@@ -124,10 +122,13 @@ def repetition(words: Words, window: int = WINDOW) -> list[np.ndarray]:
     long = best >= window
     union = _cover(len(place), np.flatnonzero(long), best[long])
     out[1] = np.bincount(where[union], minlength=n_texts)
-    np.maximum.at(out[2], where, np.where(long, best, 0))
+    chars = np.cumsum(np.append(0, words.inside & _STARTS_CHAR[words.buf]))
+    size = (chars[words.ends] - chars[words.starts])[place[union]]
+    np.add.at(out[2], where[union], size)
+    np.maximum.at(out[3], where, np.where(long, best, 0))
     # an interval opens where the LCP rises to the window or above it
     rise = (lcp >= window) & (lcp > np.concatenate([[0], lcp[:-1]]))
-    out[3] = np.bincount(where[order[1:]][rise], minlength=n_texts)
+    out[4] = np.bincount(where[order[1:]][rise], minlength=n_texts)
     return out
 
 
@@ -158,7 +159,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", into: str = "quality_
     df = annotate(docs, text_col, measure, FIELDS, into)
     q = F.col(into)
     failed = base_failed(q["n_words"], q["n_repeat_words"])
-    kept = ~failed & (q["covered_words"] * 100 <= q["n_words"] * MAX_COVERED_PERCENT) & (q["longest_repeat"] <= MAX_LONGEST)
+    kept = ~failed & (q["covered_chars"] * 100 <= q["word_chars"] * MAX_COVERED_PERCENT) & (q["longest_repeat"] <= MAX_LONGEST)
     return df.withColumn(into, q.withField("base_failed", failed).withField("kept", kept))
 
 
@@ -177,7 +178,9 @@ win AS (
   SELECT doc_id, i, hash(list_slice(w, i, i + {WINDOW - 1})) AS h
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
 rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, h) > 1),
-cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM rep, range(0, {WINDOW}) r(j) GROUP BY doc_id),
+cov AS (
+  SELECT doc_id, count(*) AS n, sum(length(w[p])) AS c
+  FROM (SELECT DISTINCT doc_id, i + j AS p FROM rep, range(0, {WINDOW}) r(j)) JOIN d USING (doc_id) GROUP BY doc_id),
 far AS (
   SELECT DISTINCT doc_id FROM (
     SELECT doc_id, list_slice(w, i, i + {MAX_LONGEST}) AS s
@@ -193,10 +196,10 @@ b AS (
     CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(ln.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
-    far.doc_id IS NOT NULL AS too_long
+    far.doc_id IS NOT NULL OR 100 * coalesce(cov.c, 0) > {MAX_COVERED_PERCENT} * length(array_to_string(w, '')) AS too_much
   FROM d LEFT JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN far USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_COVERED_PERCENT} * n_words AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_COVERED_PERCENT} * n_words OR too_long) AS kept
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_COVERED_PERCENT} * n_words OR too_much) AS kept
 FROM b
 """

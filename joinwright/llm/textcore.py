@@ -57,13 +57,21 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"][: n + 1], _powers["q"][: n + 1]
 
 
+class Spans:
+    """Position-free polynomial fingerprints of codes[start:end], for any number of pairs."""
+
+    def __init__(self, codes: np.ndarray):
+        self.power, inverse = _power(len(codes))
+        self.total = np.empty(len(codes) + 1, _U)
+        self.total[0] = 0
+        np.cumsum(codes * inverse[:-1], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.power[starts])
+
+
 def _spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Position-free polynomial fingerprint of codes[start:end] for every pair."""
-    p, q = _power(len(codes))
-    total = np.empty(len(codes) + 1, _U)
-    total[0] = 0
-    np.cumsum(codes * q[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * p[starts])
+    return Spans(codes)(starts, ends)
 
 
 class Words:

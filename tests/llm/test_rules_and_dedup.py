@@ -48,7 +48,7 @@ def brute_rules(text):
                 k += 1
             longest = max(longest, k)
     failed = len(w) < 20 or 100 * len(at) > 30 * len(w)
-    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(at), longest if longest >= 8 else 0, failed)
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(at), sum(len(w[i]) for i in at), longest if longest >= 8 else 0, failed)
 
 
 def test_rules_equal_brute_force(make, clashing):
@@ -59,9 +59,9 @@ def test_rules_equal_brute_force(make, clashing):
         texts.append("\n".join([prose(draw, draw.randrange(0, 60)), part, prose(draw, draw.randrange(0, 30)), part, part[: draw.randrange(len(part))]]))
     found = quality_rules.quality_rules(make(list(enumerate(texts)), **clashing)).select("doc_id", "quality_rules.*").collect()
     for r in found:
-        got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.longest_repeat, r.base_failed)
+        got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.covered_chars, r.longest_repeat, r.base_failed)
         assert got == brute_rules(texts[r.doc_id]), texts[r.doc_id]
-        assert r.covered_words == r.n_repeat_words and r.kept == (not r.base_failed)
+        assert r.covered_words == r.n_repeat_words and r.kept == (not r.base_failed and 100 * r.covered_chars <= 30 * r.word_chars)
 
 
 def test_rules_reject_one_long_repeat(make):
@@ -71,6 +71,21 @@ def test_rules_reject_one_long_repeat(make):
     assert len(r) == 3 and all(x.longest_repeat == 160 and not x.base_failed and not x.kept for x in r)
 
 
+def test_rules_reject_repeats_of_many_characters(make):
+    once = " ".join(f"characterful{i}" for i in range(10))
+    rest = " ".join(f"v{i}" for i in range(60))
+    long, short = f"{once} {rest} {once}", f"{' '.join(f'c{i}' for i in range(10))} {rest} {' '.join(f'c{i}' for i in range(10))}"
+    found = {r.doc_id: r.quality_rules for r in quality_rules.quality_rules(make([(1, long), (2, short)])).collect()}
+    assert all(q.n_repeat_words == 20 and not q.base_failed and q.longest_repeat == 10 for q in found.values())
+    assert not found[1].kept and found[2].kept
+
+
+def test_rules_of_very_long_texts(make):
+    texts = ["a b c d e f g h i j " * 20_000, " ".join(f"u{i}" for i in range(200_000)), "x" * 1_000_000]
+    found = {r.doc_id: r.quality_rules for r in quality_rules.quality_rules(make(list(enumerate(texts)))).collect()}
+    assert (found[0].n_repeat_words, found[0].longest_repeat, found[1].n_repeat_words, found[2].n_words) == (200_000, 199_990, 0, 1)
+
+
 def test_rules_query(spark, sf, oracle):
     same(quality_rules.op3_quality_rules(spark, sf), oracle(quality_rules.ORACLE))
 

@@ -7,14 +7,18 @@ a number replaced by the placeholders NUMBER, NAME and UNIT.  Digits joined by
 value keeps the shape of the template.  Windows of eight template tokens, at
 least half of them plain words, are hash-joined between documents and benchmark
 items.  Where an item has fewer plain words in a window, or no more than one
-window, windows of up to eight of its words are matched as they stand.  Along one alignment of document and item the placeholders of all
-matched windows must bind consistently: one item value to one document value and
-back.  An item that matches with other values in its slots is a
-re-parameterised copy.
-
-Only documents' windows whose fingerprint falls in a fixed-size bitmap of the
-benchmark's windows are shuffled; the bitmap's size does not depend on either
-table.  The join that follows is exact.
+window, windows of up to eight of its words are matched as they stand.  Along one
+alignment of document and item the placeholders of all matched windows must bind
+consistently: one item value to one document value and back.  An item that matches
+with other values in its slots is a re-parameterised copy.
+
+Only documents' windows whose fingerprint falls in a bitmap of the benchmark's
+windows are shuffled; the bitmap has 32 bits for each window of the benchmark and
+never more than 2 ** MOST_BITS.  The joins that follow are exact.  A window that many
+items hold does not meet every document with every item: documents and items are
+paired by the item's *rarest* windows, left over when the commonest that together
+stay under the coverage asked for are set aside, and only those pairs are matched on all
+windows.
 
 Edge cases: null or empty texts hold no window and null ids take no part, on
 either side; an item shorter than a window is matched as a whole, with new values in
@@ -26,18 +30,20 @@ give an empty table; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinwright.llm.storage import checkpoint
+from joinwright.llm.storage import checkpoint, release
 from joinwright.llm.textcore import Words, byte_texts, mix, passes, signed, window_hashes
 
 WINDOW = 8
 MIN_PLAIN = 4
 #: Part of an item's tokens that one consistent alignment must cover.
 MIN_COVERAGE = 0.5
-BITMAP_BITS = 22
+#: Bounds of the bitmap's size, as powers of two.
+LEAST_BITS, MOST_BITS = 16, 27
 
 #: Units that may follow a number.
 UNITS = """
@@ -157,6 +163,7 @@ def _windows(texts: DataFrame, lengths: list[int] | None, bitmap: np.ndarray | N
     ``low`` to ``high`` are the item's tokens in the window.
     """
     shared = None if bitmap is None else texts.sparkSession.sparkContext.broadcast(bitmap)
+    shift = None if bitmap is None else _U(64 - (8 * len(bitmap)).bit_length() + 1)
 
     def run(batches):
         bits = None if shared is None else shared.value
@@ -180,7 +187,7 @@ def _windows(texts: DataFrame, lengths: list[int] | None, bitmap: np.ndarray | N
                     text = np.searchsorted(template.first, at, side="right") - 1
                     base = template.first[text]
                     if bits is not None:
-                        place = (hashes >> _U(64 - BITMAP_BITS)).astype(np.int64)
+                        place = (hashes >> shift).astype(np.int64)
                         hit = (bits[place >> 3] >> (place & 7)) & 1 > 0
                     else:
                         hit = (sizes[text] == k) if 0 < k < WINDOW else np.ones(len(at), bool)
@@ -208,35 +215,63 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:
-    """Bit set of the windows' top bits: 2 ** BITMAP_BITS bits whatever the benchmark holds."""
-    place = F.shiftrightunsigned("window", 64 - BITMAP_BITS).cast("int").alias("place")
-    places = np.array([r[0] for r in windows.select(place).distinct().toLocalIterator()], np.int64)
-    bits = np.zeros(1 << BITMAP_BITS, np.uint8)
-    bits[places] = 1
-    return np.packbits(bits, bitorder="little")
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Bit set of the windows' top bits, as bytes; gathered in 64-bit lanes."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (32 * windows.count()).bit_length()))
+    place = F.shiftrightunsigned("window", 64 - bits)
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    lanes = windows.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("lane")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2 ** (bits - 6) rows at most
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[lanes.column("lane").to_numpy()] = lanes.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def _rarest(items: DataFrame, min_coverage: float) -> DataFrame:
+    """(window, k, item_id, item_print): windows of which a document has at least one if it covers ``min_coverage`` of the item."""
+
+    def keep(group: pd.DataFrame) -> pd.DataFrame:
+        # the group is one item
+        group = group.sort_values(["n_items", "window", "at"], ascending=[False, True, True])
+        covered = np.zeros(int(group["n_tokens"].iat[0]), bool)
+        aside = 0
+        for n, low, high in zip(group["n_items"], group["low"], group["high"], strict=True):
+            if n < 2:
+                break
+            covered[low : high + 1] = True
+            if covered.sum() >= min_coverage * len(covered):
+                break
+            aside += 1
+        return group.iloc[aside:][["window", "k", "id", "print"]]
+
+    common = checkpoint(items.select("window", "k", "id", "print").distinct().groupBy("window", "k").agg(F.count("*").alias("n_items")))
+    rated = items.join(common, ["window", "k"]).select("id", "print", "window", "k", "at", "low", "high", "n_tokens", "n_items")
+    found = rated.groupBy("id", "print").applyInPandas(keep, "window bigint, k int, id bigint, print bigint").distinct()
+    return checkpoint(found.select("window", "k", F.col("id").alias("item_id"), F.col("print").alias("item_print")))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_coverage: float = 0.0) -> DataFrame:
     """One row per document text, item and alignment (offset) that share a template window.
 
-    Columns doc_id, print, item_id, offset, n_windows matched, covered (positions
-    of the item's tokens), n_tokens of the item, n_slots (distinct item values bound), n_rebound
-    (bound to another value), consistent.
+    Columns doc_id, print, item_id, item_print, offset, n_windows matched, covered
+    (positions of the item's tokens), n_tokens of the item, n_slots (distinct item
+    values bound), n_rebound (bound to another value), consistent.  Pairs that
+    cover less than ``min_coverage`` of the item may be left out.
     """
     items = checkpoint(_windows(_texts(benchmark, item_col, item_text_col), None, None).distinct())
     lengths = sorted({r[0] for r in items.select("k").distinct().collect()})  # at most 2 * WINDOW values
     if not lengths:
         lengths = [WINDOW]
-    found = _windows(_texts(docs, id_col, text_col), lengths, _bitmap(items)).distinct()
-    d, i = found.alias("d"), items.alias("i")
-    pairs = d.join(i, (F.col("d.window") == F.col("i.window")) & (F.col("d.k") == F.col("i.k")))
+    found = checkpoint(_windows(_texts(docs, id_col, text_col), lengths, _bitmap(items)).distinct())
+    near = _rarest(items, min_coverage)
+    together = found.select(F.col("id").alias("doc_id"), "print", "window", "k").join(near, ["window", "k"]).select("doc_id", "print", "item_id", "item_print").distinct()
+    i = items.select("window", "k", F.col("id").alias("item_id"), F.col("print").alias("item_print"), F.col("at").alias("item_at"), F.col("low").alias("item_low"), F.col("high").alias("item_high"), F.col("n_tokens").alias("item_tokens"), F.col("slots").alias("item_slots"))
+    pairs = found.withColumnRenamed("id", "doc_id").join(together, ["doc_id", "print"]).join(i, ["item_id", "item_print", "window", "k"])
     pairs = checkpoint(
         pairs.select(
-            F.col("d.id").alias("doc_id"), F.col("d.print").alias("print"), F.col("i.id").alias("item_id"), F.col("i.print").alias("item_print"),
-            (F.col("d.at") - F.col("i.at")).alias("offset"), F.col("i.low").alias("low"), F.col("i.high").alias("high"), F.col("i.n_tokens").alias("n_tokens"),
-            F.arrays_zip(F.col("i.slots").alias("item"), F.when(F.col("i.k") < 0, F.col("i.slots")).otherwise(F.col("d.slots")).alias("doc")).alias("slots"),
+            "doc_id", "print", "item_id", "item_print", (F.col("at") - F.col("item_at")).alias("offset"), F.col("item_low").alias("low"), F.col("item_high").alias("high"), F.col("item_tokens").alias("n_tokens"),
+            F.arrays_zip(F.col("item_slots").alias("item"), F.when(F.col("k") < 0, F.col("item_slots")).otherwise(F.col("slots")).alias("doc")).alias("slots"),
         )
     )
+    release(items, found, near)
     key = ["doc_id", "print", "item_id", "item_print", "offset"]
     covered = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("low", "high")))))
     runs = pairs.groupBy(*key, "n_tokens").agg(F.count("*").alias("n_windows"), covered.alias("covered"))
@@ -258,7 +293,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MI
     token that several alignments cover counts once.  kind is ``verbatim``
     if no slot has a new value, else ``reparameterised``.
     """
-    good = matches(docs, benchmark, **names).where("consistent")
+    good = matches(docs, benchmark, min_coverage=min_coverage, **names).where("consistent")
     union = F.size(F.array_distinct(F.flatten(F.collect_set("covered"))))
     found = good.groupBy("doc_id", "print", "item_id", "item_print", "n_tokens").agg(F.sum("n_windows").alias("n_windows"), union.alias("n_covered"), F.sum("n_slots").alias("n_slots"), F.sum("n_rebound").alias("n_rebound"))
     best = found.withColumn("coverage", F.col("n_covered") / F.col("n_tokens")).where(F.col("coverage") >= min_coverage)
@@ -271,7 +306,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MI
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the ids that contain a benchmark item; columns unchanged."""
     gone = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("bigint") == F.col("__gone"), "left_anti")
+    key = docs[id_col].cast("bigint")
+    # rows without an id hold nothing, and do not meet in one task
+    return docs.where(key.isNotNull()).join(gone, key == gone["__gone"], "left_anti").unionByName(docs.where(key.isNull()))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

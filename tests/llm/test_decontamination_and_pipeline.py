@@ -1,6 +1,7 @@
 """Template decontamination and the pipeline against brute force."""
 
 import random
+import re
 
 import corpus_pipeline
 from joinwright.llm import decontamination, near_dedup, piece_lattice
@@ -48,32 +49,111 @@ def test_reparameterised_copies_are_caught(spark, make, clashing):
     assert contaminated(make([]), bench).count() == 0 and contaminated(df, items(spark, [])).count() == 0
 
 
-def brute_windows(text):
-    """(template window, position) from the tokens of one text alone."""
-    t = Template([text.encode()])
-    n = len(t.tokens)
-    return {(tuple(t.tokens[i : i + 8].tolist()), i) for i in range(n - 7) if t.plain[i : i + 8].sum() >= 4}, n
-
-
-def test_matches_equal_brute_force(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    want = set()
-    sides = {r.item_id: brute_windows(r.text) for r in bench.collect()}
-    for d, text in texts.items():
-        mine = brute_windows(text)[0]
-        by_window = {}
-        for w, i in mine:
-            by_window.setdefault(w, set()).add(i)
-        for item, (windows, n) in sides.items():
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+CAPITAL = re.compile(rb"[A-Z]([a-z]|[\x80-\xff])|\xc3[\x80-\x9e].", re.S)
+BREAK = re.compile(rb"[.!?:;\n\"]")
+
+
+def brute_tokens(text):
+    """(mark or word, value, first word, last word) of each token, and the words: by the rules in the module's docstring."""
+    raw = text.encode()
+    words = list(WORD.finditer(raw))
+    tokens = []
+    for i, m in enumerate(words):
+        gap = raw[words[i - 1].end() : m.start()] if i else b"."
+        number = m.group()[:1].isdigit()
+        name = bool(CAPITAL.match(m.group())) and i > 0 and not BREAK.search(gap)
+        kind = "NUMBER" if number else "NAME" if name else None
+        before = (bool(words[i - 1].group()[:1].isdigit()), brute_name(raw, words, i - 1)) if i else (False, False)
+        if (number and before[0] and gap in (b".", b",")) or (name and before[1] and gap == b" "):
+            tokens[-1][3] = i
+        else:
+            tokens.append([kind, None, i, i])
+    for t in tokens:
+        t[1] = b" ".join(w.group().lower() if w.group().isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in w.group()) for w in words[t[2] : t[3] + 1])
+    for one, two in zip(tokens, tokens[1:]):
+        if one[0] == "NUMBER" and two[1].decode(errors="replace") in decontamination.UNITS and two[0] != "NUMBER":
+            two[0] = "UNIT"
+    return tokens, [bytes(b + 32 if 65 <= b <= 90 else b for b in w.group()) for w in words]
+
+
+def brute_name(raw, words, i):
+    return bool(CAPITAL.match(words[i].group())) and i > 0 and not BREAK.search(raw[words[i - 1].end() : words[i].start()])
+
+
+def brute_contaminated(docs, bench, least=0.5):
+    """{(doc, item): (coverage, kind)} with every window of every document compared with every item's."""
+    out = {}
+    doc_side = []
+    for doc, text in docs:
+        tokens, words = brute_tokens(text)
+        marks, index = [t[0] or t[1] for t in tokens], {}
+        for k in range(4, 9):
+            for i in range(len(tokens) - k + 1):
+                index.setdefault(("t", tuple(marks[i : i + k])), []).append(i)
+        owner = [n for n, t in enumerate(tokens) for _ in range(t[2], t[3] + 1)]
+        for k in range(1, 9):
+            for i in range(len(words) - k + 1):
+                index.setdefault(("w", tuple(words[i : i + k])), []).append(owner[i + k - 1])
+        doc_side.append((doc, tokens, index))
+    for item, text in bench:
+        tokens, words = brute_tokens(text)
+        n, plain = len(tokens), [t[0] is None for t in tokens]
+        owner = [j for j, t in enumerate(tokens) for _ in range(t[2], t[3] + 1)]
+        wanted = []
+        k = min(8, n)
+        for i in range(n - k + 1 if k >= 4 else 0):
+            if sum(plain[i : i + k]) >= 4:
+                wanted.append((("t", tuple(t[0] or t[1] for t in tokens[i : i + k])), i, range(i, i + k), True))
+        k = min(8, len(words))
+        for i in range(len(words) - k + 1 if any(plain) else 0):
+            if sum(plain[owner[x]] for x in range(i, i + k)) < 4 or n <= 8:
+                inside = [j for j in range(n) if tokens[j][2] >= i and tokens[j][3] < i + k] or ([owner[i]] if owner[i] == owner[i + k - 1] else [])
+                if inside:
+                    wanted.append((("w", tuple(words[i : i + k])), owner[i + k - 1], inside, False))
+        for doc, mine, index in doc_side:
             runs = {}
-            for w, i in windows:
-                for at in by_window.get(w, ()):
-                    runs.setdefault(at - i, set()).update(range(i, i + 8))
-            if sum(map(len, runs.values())) >= n * decontamination.MIN_COVERAGE:
-                want.add((d, item))
-    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == want
+            for key, at, covered, template in wanted:
+                for there in index.get(key, ()):
+                    cover, bound = runs.setdefault(there - at, (set(), set()))
+                    cover.update(covered)
+                    bound.update((tokens[j][1], mine[there + j - at][1] if template else tokens[j][1]) for j in covered if not plain[j])
+            good = [r for r in runs.values() if len(r[1]) == len({a for a, _ in r[1]}) == len({b for _, b in r[1]})]
+            cover = set().union(*(c for c, _ in good))
+            if n and cover and len(cover) >= least * n:
+                out[doc, item] = (round(len(cover) / n, 6), "verbatim" if all(a == b for _, r in good for a, b in r) else "reparameterised")
+    return out
+
+
+def check(docs, bench, least=0.5):
+    got = {(r.doc_id, r.item_id): (round(r.coverage, 6), r.kind) for r in contaminated(docs, bench, min_coverage=least).collect()}
+    want = brute_contaminated([(r.doc_id, r.text) for r in docs.collect() if r.text], [(r.item_id, r.text) for r in bench.collect() if r.text], least)
+    assert got == want
+    return got
+
+
+def test_tables_equal_brute_force(spark, sf):
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    assert check(docs, bench) and check(docs, bench, 0.1)
+
+
+def test_odd_texts_equal_brute_force(spark, make):
+    draw = random.Random(21)
+    pool = ["Anna", "Bob Lee", "Émile", "12", "3.5", "1,200", "km", "hours", "goes", "from", "the", "to", "store", "with", "Paris", "7", "eggs", ".", "?", ",", "dollars", "NASA", "über", "x"]
+    # fragments that many items share, so that common windows are set aside
+    shared = [" ".join(draw.choice(pool) for _ in range(14)) for _ in range(4)]
+    texts = [" ".join(draw.choice([*pool, *shared]) for _ in range(draw.randrange(1, 14))) for _ in range(60)]
+    bench = items(spark, list(enumerate(texts)))
+    docs = []
+    for i in range(120):
+        parts = [draw.choice([draw.choice(texts), draw.choice(shared), " ".join(draw.choice(pool) for _ in range(6))]) for _ in range(4)]
+        text = " ".join(parts)
+        for old, new in (("Anna", "Zoe"), ("12", "45"), ("3.5", "12"), ("Paris", "Rome")):
+            text = text.replace(old, new, draw.randrange(3)) if draw.random() < 0.3 else text
+        docs.append((i, text))
+    for least in (0.2, 0.5, 0.9):
+        kinds = [k for _, k in check(make(docs), bench, least).values()]
+        assert kinds.count("verbatim") > 20 and kinds.count("reparameterised") > 5
 
 
 def test_repeated_fragments_count_once(spark, make):
@@ -86,19 +166,6 @@ def test_repeated_fragments_count_once(spark, make):
     assert {(r.doc_id, round(r.coverage, 4)) for r in contaminated(docs, bench, min_coverage=0.1).collect()} == {(1, round(10 / 59, 4)), (2, round(30 / 59, 4)), (3, round(10 / 59, 4))}
 
 
-def test_matches_equal_brute_force_of_united_tokens(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    sides = {r.item_id: brute_windows(r.text) for r in bench.collect()}
-    want = set()
-    for r in docs.collect():
-        mine = {w for w, _ in brute_windows(r.text)[0]}
-        for item, (windows, n) in sides.items():
-            if len({x for w, i in windows if w in mine for x in range(i, i + 8)}) >= n * decontamination.MIN_COVERAGE:
-                want.add((r.doc_id, item))
-    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == want
-
-
 def test_verbatim_items_of_few_plain_words_are_caught(spark, make):
     draw = random.Random(12)
     texts = ["Compute 12 + 34 * 56 - 78 / 9 = ?", "Is it so then", "Paris Texas", "Anna Smith went home", "Add 1,2,3,4,5,6,7,8,9,10,11 now", "List 4 8 15 16 23 42 5 7 11 13 17 19 29 31"]

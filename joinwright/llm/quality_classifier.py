@@ -1,17 +1,20 @@
 """Quality classifier: random-indexing word vectors, a two-layer network, calibrated probabilities.
 
-Every word is read as its head and its tail (first four and last three bytes,
-hashed to ``VOCABULARY`` entries), so words never met before have vectors too.
-Each entry owns a sparse random index vector; its word vector is the sum of the
-index vectors around all its occurrences in the *whole* corpus, damped and
-normalised.  A document is the mean vector of its heads, that of its tails, their
-lengths, and the mean similarity of neighbouring words' vectors; a two-layer numpy network trained on a bounded sample of
-labelled rows scores it, and a temperature fitted on a part of the sample that
-the network has not seen calibrates the probabilities.
-
-The sums are taken per partition in a table whose size is fixed
-(VOCABULARY x DIMENSIONS), then added block by block in two levels, so no task
-reads more than the square root of the number of partitions.
+Every word of the *whole* corpus has a vector: the sum of its neighbours' sparse
+random index vectors over all its occurrences, damped and normalised.  Vectors
+lie in a table of fixed size, each word in two entries chosen by two hashes of the whole word, whose
+sum is its vector; two words that share one entry hardly ever share the other.  A
+word of more than ``LONG`` bytes, as in a text without spaces, is read as pieces of
+``PIECE`` bytes cut between characters.  A document is the mean of its words'
+vectors, its length, for neighbouring words and words two apart the mean similarity of
+their vectors and the part that is the same word, the mean log frequency of its words and their mean length, and the log of
+the word count; a two-layer numpy network trained on a bounded sample of labelled rows
+scores it, and a temperature fitted on a part of the sample that the network has not
+seen calibrates the probabilities.
+
+The sums are taken per partition in a table whose size is fixed (VOCABULARY x
+DIMENSIONS), then added block by block in three levels of at most ``FAN`` tables
+each, so that no task reads more than FAN blocks, or one for each FAN ** 2 partitions.
 
 Edge cases: null and empty texts have the zero vector and a score like any text;
 without usable labels every score is 0.5; repeated rows get equal scores; rows
@@ -32,11 +35,13 @@ from pyspark.sql import functions as F
 from joinwright.llm.folds import labelled_sample, remainder, sampled_texts
 from joinwright.llm.textcore import Words, byte_texts, mix, passes
 
-VOCABULARY = 8192
+VOCABULARY = 1 << 15
+LONG, PIECE = 24, 8
 DIMENSIONS = 32
 NONZERO = 2
 REACH = 2
 BLOCKS = 64
+FAN = 64
 SAMPLE = 8000
 MODULUS, HELD = 5, 0
 THRESHOLD = 0.3
@@ -45,40 +50,60 @@ HIDDEN = 32
 _U = np.uint64
 
 
-def entries(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary entries of the words' heads and tails."""
-    head = mix(words.span_hashes(words.starts, np.minimum(words.starts + 4, words.ends)) + _U(1))
-    tail = mix(words.span_hashes(np.maximum(words.ends - 3, words.starts), words.ends) + _U(2))
-    return (head % _U(VOCABULARY)).astype(np.int64), (tail % _U(VOCABULARY)).astype(np.int64)
-
-
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Dimensions and signs of each entry's random index vector."""
-    key = mix(np.arange(VOCABULARY * NONZERO, dtype=_U) + _U(0x5EED)).reshape(VOCABULARY, NONZERO)
-    return (key % _U(DIMENSIONS)).astype(np.int64), np.where((key >> _U(40)) & _U(1), 1.0, -1.0)
-
-
-def contexts(words: Words) -> np.ndarray:
+class Tokens:
+    """Words of a list of texts, long ones in pieces: their fingerprints, lengths in bytes and places."""
+
+    def __init__(self, texts: list[bytes]):
+        words = Words(texts)
+        long = words.ends - words.starts
+        pieces = np.where(long > LONG, -(-long // PIECE), 1)
+        starts = np.repeat(words.starts, pieces)
+        starts = starts + PIECE * (np.arange(len(starts)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        last = np.cumsum(pieces) - 1
+        for _ in range(3):  # a character has three more bytes at most
+            inside = (words.buf[starts] & 0xC0) == 0x80
+            inside[last[pieces == 1]] = False
+            starts = starts + inside
+        ends = np.append(starts[1:], 0)
+        ends[last] = words.ends
+        starts = np.minimum(starts, ends)
+        self.hashes = words.span_hashes(starts, ends)
+        self.sizes = ends - starts
+        text = np.repeat(words.text_of_word(), pieces)
+        self.first = np.searchsorted(text, np.arange(len(texts) + 1))
+        self.counts, self.text = np.diff(self.first), text
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both vocabulary entries of each word."""
+        return tuple((mix(self.hashes + _U(k)) % _U(VOCABULARY)).astype(np.int64) for k in (1, 2))
+
+    def index_vectors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Dimensions and signs of each word's random index vector, a column for each nonzero."""
+        keys = [mix(self.hashes + _U(0x5EED + z)) for z in range(NONZERO)]
+        return np.stack([k % _U(DIMENSIONS) for k in keys], axis=1).astype(np.int64), np.stack([np.where((k >> _U(40)) & _U(1), 1.0, -1.0) for k in keys], axis=1)
+
+
+def contexts(tokens: Tokens) -> np.ndarray:
     """Sum of the index vectors around each entry's occurrences, with occurrences in the last column."""
-    table = np.zeros((VOCABULARY, DIMENSIONS + 1))
-    head, tail = entries(words)
-    stream = np.stack([head, tail], axis=1).ravel()
-    text = np.repeat(words.text_of_word(), 2)
-    dims, signs = index_vectors()
-    size = VOCABULARY * DIMENSIONS
+    dims, signs = tokens.index_vectors()
+    places, weights = [], []
     for gap in range(1, REACH + 1):
-        left, right = stream[:-gap], stream[gap:]
-        inside = text[:-gap] == text[gap:]
-        left, right = left[inside], right[inside]
-        for a, b in ((left, right), (right, left)):
+        inside = np.flatnonzero(tokens.text[:-gap] == tokens.text[gap:])
+        for own, other in ((inside, inside + gap), (inside + gap, inside)):
             for z in range(NONZERO):
-                table[:, :-1] += np.bincount(a * DIMENSIONS + dims[b, z], weights=signs[b, z], minlength=size).reshape(VOCABULARY, DIMENSIONS)
-    table[:, -1] = np.bincount(stream, minlength=VOCABULARY)
+                places.append((own, dims[other, z]))
+                weights.append(signs[other, z])
+    own, dim = (np.concatenate([p[i] for p in places]) for i in (0, 1))
+    weight = np.concatenate(weights)
+    table = np.zeros((VOCABULARY, DIMENSIONS + 1))
+    for entry in tokens.entries():
+        table[:, :-1] += np.bincount(entry[own] * DIMENSIONS + dim, weights=weight, minlength=VOCABULARY * DIMENSIONS).reshape(VOCABULARY, DIMENSIONS)
+        table[:, -1] += np.bincount(entry, minlength=VOCABULARY)
     return table
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Word vectors of the vocabulary from every text of ``docs``."""
+    """Vectors of the vocabulary's entries from every text of ``docs``, with the log frequency in the last column."""
     rows = VOCABULARY // BLOCKS
 
     def add_up(batches):
@@ -86,7 +111,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for batch in batches:
             texts = byte_texts(batch.column(0))
             for a, b in passes(texts):
-                table += contexts(Words([t or b"" for t in texts[a:b]]))
+                table += contexts(Tokens([t or b"" for t in texts[a:b]]))
         cuts = [table[i * rows : (i + 1) * rows].astype(np.float32).tobytes() for i in range(BLOCKS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(cuts, pa.binary())], names=["block", "sums"])
 
@@ -94,37 +119,47 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(rows * (DIMENSIONS + 1))
         for s in group["sums"]:
             total += np.frombuffer(s, np.float32)
-        return pd.DataFrame({"block": [group["block"].iat[0]], "sums": [total.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"block": [group["block"].iat[0]], "part": [group["part"].iat[0]], "sums": [total.astype(np.float32).tobytes()]})
 
-    schema = "block int, sums binary"
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(add_up, schema).withColumn("part", F.spark_partition_id())
-    few = F.pmod(F.col("part"), F.lit(64)).alias("part")
-    level = parts.select("block", "sums", few).groupBy("block", "part").applyInPandas(merge, schema).groupBy("block").applyInPandas(merge, schema)
+    level = docs.select(F.col(text_col).cast("string")).mapInArrow(add_up, "block int, sums binary").withColumn("part", F.spark_partition_id())
+    for fan in (FAN, FAN, None):
+        level = level.select("block", "sums", (F.expr(f"part div {fan}") if fan else F.lit(0)).cast("int").alias("part")).groupBy("block", "part").applyInPandas(merge, "block int, part int, sums binary")
     table = np.zeros((BLOCKS, rows, DIMENSIONS + 1), np.float32)
-    for block, sums in level.collect():  # BLOCKS rows of fixed size
+    for block, sums in level.select("block", "sums").collect():  # BLOCKS rows of fixed size
         table[block] = np.frombuffer(bytes(sums), np.float32).reshape(rows, -1)
-    flat = table.reshape(VOCABULARY, -1)
-    vectors = flat[:, :-1] / np.sqrt(flat[:, -1:] + 1)
+    return finished(table.reshape(VOCABULARY, -1))
+
+
+def finished(table: np.ndarray) -> np.ndarray:
+    """Damped, normalised vectors and log frequencies of a table of sums and counts."""
+    vectors = table[:, :-1] / np.sqrt(table[:, -1:] + 1)
     vectors = np.sign(vectors) * np.log1p(np.abs(vectors))
-    return (vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-6)).astype(np.float32)
+    vectors = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-6)
+    total = max(float(table[:, -1].sum()), 1.0)
+    return np.hstack([vectors, np.log1p(table[:, -1:] * (1e6 / total)) / 10]).astype(np.float32)
 
 
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """A row for each text: mean head vector, mean tail vector, their lengths, mean similarity of neighbours, log of the word count."""
-    words = Words(texts)
-    out = np.zeros((len(texts), 2 * DIMENSIONS + 5), np.float32)
-    filled = np.flatnonzero(words.counts)
+    """A row for each text, as the module's docstring has it."""
+    tokens = Tokens(texts)
+    out = np.zeros((len(texts), DIMENSIONS + 8), np.float32)
+    filled = np.flatnonzero(tokens.counts)
     if len(filled):
-        at, n = words.first[:-1][filled], words.counts[filled][:, None]
-        for side, entry in enumerate(entries(words)):
-            found = vectors[entry]
-            mean = np.add.reduceat(found, at, axis=0) / n
-            near = np.einsum("ij,ij->i", found, np.roll(found, -1, axis=0))
-            near[words.first[1:][filled] - 1] = 0
-            out[filled, 2 * DIMENSIONS + 2 + side] = np.add.reduceat(near, at) / n[:, 0]
-            out[filled, side * DIMENSIONS : (side + 1) * DIMENSIONS] = mean
-            out[filled, 2 * DIMENSIONS + side] = np.linalg.norm(mean, axis=1)
-    out[:, -1] = np.log1p(words.counts) / 10
+        at, n = tokens.first[:-1][filled], tokens.counts[filled]
+        one, two = tokens.entries()
+        found = (vectors[one] + vectors[two]) / 2
+        mean = np.add.reduceat(found, at, axis=0) / n[:, None]
+        out[filled, : DIMENSIONS + 1] = mean
+        out[filled, DIMENSIONS + 1] = np.linalg.norm(mean[:, :-1], axis=1)
+        for gap in (1, 2):
+            near = np.zeros(len(found), np.float32)
+            inside = np.flatnonzero(tokens.text[:-gap] == tokens.text[gap:])
+            near[inside] = np.einsum("ij,ij->i", found[inside, :-1], found[inside + gap, :-1])
+            out[filled, DIMENSIONS + 1 + gap] = np.add.reduceat(near, at) / n
+            near[inside] = tokens.hashes[inside] == tokens.hashes[inside + gap]
+            out[filled, DIMENSIONS + 3 + gap] = np.add.reduceat(near, at) / n
+        out[filled, DIMENSIONS + 6] = np.add.reduceat(tokens.sizes, at) / n / 10
+    out[:, -1] = np.log1p(tokens.counts) / 10
     return out
 
 

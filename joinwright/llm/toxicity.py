@@ -13,8 +13,11 @@
 3. *Classifier.*  A linear classifier is trained on the posterior labels, over
    the votes and the number of lexicon hits, and scores every whole text.
 
-Labels come only from rows outside the held-out fold.  The sample has at most
-``SAMPLE`` rows; every other step covers all rows.
+Labels come only from rows outside the held-out fold.  What the fit sees is bounded
+by parameters: ``SAMPLE`` labelled rows, the ``MAX_CANDIDATES`` terms of most
+evidence in them, and of these the ``MAX_VOTERS`` that tell something new.  Terms
+are counted on the executors; the driver gets the candidates' counts and, of each
+sampled text, which candidates it holds.  Scoring covers all rows and whole texts.
 
 Edge cases: null and empty texts are scored by the classifier with no votes;
 without usable labels every score is 0; repeated rows get equal scores; rows with
@@ -32,7 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinwright.llm.folds import labelled_sample, remainder, sampled_texts
-from joinwright.llm.textcore import WHITESPACE, Words, byte_texts, mix, passes
+from joinwright.llm.storage import checkpoint, release
+from joinwright.llm.textcore import WHITESPACE, Words, byte_texts, mix, passes, signed
 
 SAMPLE = 8000
 MODULUS, HELD = 4, 2
@@ -140,40 +144,31 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple
     return posterior, rates, corr
 
 
-def fit(docs: list[np.ndarray], extra: np.ndarray, labels: np.ndarray) -> Model:
-    """Induces the lexicon, runs the label model, trains the classifier.
-
-    ``docs`` has each sampled text's distinct term fingerprints, ``extra`` its
-    pattern votes, ``labels`` its 0/1 label.
-    """
-    if len(labels) == 0 or labels.min() == labels.max():
-        return Model(np.zeros(0, _U), np.zeros(0))
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    keys, of = np.unique(np.concatenate(docs), return_inverse=True)
-    positive = np.bincount(of, weights=labels[owner], minlength=len(keys))
-    total = np.bincount(of, minlength=len(keys))
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
-    in_toxic, in_clean = (positive + 0.05) / (n1 + 1), (total - positive + 0.05) / (n0 + 1)
-    good = (positive >= max(MIN_DOCS, MIN_PART * n1)) & (in_toxic >= MIN_RATIO * in_clean)
-    order = np.flatnonzero(good)
-    order = order[np.lexsort((keys[order], -(positive[order] * np.log(in_toxic[order] / in_clean[order]))))][:MAX_CANDIDATES]
-    column = np.full(len(keys), -1)
-    column[order] = np.arange(len(order))
-    votes = np.zeros((len(docs), len(order)))
-    seen = column[of] >= 0
-    votes[owner[seen], column[of][seen]] = 1
+def accepted(votes: np.ndarray) -> list[int]:
+    """The voters, at most MAX_VOTERS, whose texts do not lie inside those of an accepted one before them."""
     together = votes.T @ votes
     chosen: list[int] = []
-    for c in range(len(order)):
+    for c in range(votes.shape[1]):
         if len(chosen) < MAX_VOTERS and not (together[c, chosen] >= REDUNDANT * together[c, c]).any():
             chosen.append(c)
-    lexicon = keys[order[chosen]]
-    votes = votes[:, np.array(chosen, int)[np.argsort(lexicon)]]
-    lexicon = np.sort(lexicon)
+    return chosen
+
+
+def fit(keys: np.ndarray, held: list[np.ndarray], extra: np.ndarray) -> Model:
+    """Chooses the lexicon, runs the label model, trains the classifier.
+
+    ``keys`` are the candidates' fingerprints, most evidence first, ``held`` each
+    sampled text's candidates and ``extra`` its pattern votes.
+    """
+    votes = np.zeros((len(held), len(keys)), np.float32)
+    votes[np.repeat(np.arange(len(held)), list(map(len, held))), np.concatenate([*held, np.zeros(0, np.int64)]).astype(np.int64)] = 1
+    chosen = np.array(accepted(votes), np.int64)
+    chosen = chosen[np.argsort(keys[chosen])]
+    votes, lexicon = votes[:, chosen].astype(float), keys[chosen]
     hits = votes.sum(axis=1)
     # the patterns' rates are learned too, so one that does not speak for label 1 gets no say
     posterior, _, _ = label_model(np.hstack([votes, extra, hits[:, None] == 0]), np.where(hits > 0, 0.9, 0.05))
-    x = np.hstack([votes, np.log1p(hits)[:, None], extra, np.ones((len(docs), 1))])
+    x = np.hstack([votes, np.log1p(hits)[:, None], extra, np.ones((len(held), 1))])
     return Model(lexicon, _logistic(x, posterior))
 
 
@@ -193,32 +188,76 @@ def _logistic(x: np.ndarray, target: np.ndarray, penalty: float = 0.3, rounds: i
     return w
 
 
+def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Every text's distinct terms: fingerprints and text numbers, by text."""
+    keys, owners = terms(texts)
+    order = np.lexsort((keys, owners))
+    keys, owners = keys[order], owners[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (np.diff(keys) != 0) | (np.diff(owners) != 0)
+    return keys[new], owners[new]
+
+
+def _counts(texts: DataFrame) -> DataFrame:
+    """(key, positive, total): sampled texts with each term, and those of label 1; the null key counts all texts."""
+
+    def run(batches):
+        for batch in batches:
+            rows, labels = byte_texts(batch.column(0)), batch.column(1).to_numpy()
+            for a, b in passes(rows):
+                keys, owners = _distinct([t or b"" for t in rows[a:b]])
+                found, of = np.unique(keys, return_inverse=True)
+                y = labels[a:b]
+                total, positive = np.bincount(of, minlength=len(found)), np.bincount(of, weights=y[owners], minlength=len(found)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([*signed(found).tolist(), None], pa.int64()), pa.array(np.append(positive, y.sum())), pa.array(np.append(total, b - a))], names=["key", "positive", "total"])
+
+    parts = texts.select("text", "y").mapInArrow(run, "key bigint, positive bigint, total bigint")
+    return checkpoint(parts.groupBy("key").agg(F.sum("positive").alias("positive"), F.sum("total").alias("total")))
+
+
+def candidates(counts: DataFrame) -> np.ndarray:
+    """Fingerprints of the MAX_CANDIDATES terms that speak most for label 1, best first; none without both labels."""
+    all_ = counts.where("key IS NULL").first()
+    if not all_ or not 0 < all_["positive"] < all_["total"]:
+        return np.zeros(0, _U)
+    n1, n0 = all_["positive"], all_["total"] - all_["positive"]
+    in_toxic, in_clean = (F.col("positive") + 0.05) / (n1 + 1), (F.col("total") - F.col("positive") + 0.05) / (n0 + 1)
+    good = counts.where(F.col("key").isNotNull() & (F.col("positive") >= max(MIN_DOCS, MIN_PART * n1)) & (in_toxic >= MIN_RATIO * in_clean))
+    best = good.orderBy((F.col("positive") * F.ln(in_toxic / in_clean)).desc(), "key").limit(MAX_CANDIDATES).select("key").collect()
+    return np.array([r[0] for r in best], np.int64).view(_U)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits the model on at most ``sample`` labelled rows outside the held-out fold."""
     texts = sampled_texts(docs, labelled_sample(labels, "toxic", MODULUS, HELD, sample))
+    counts = _counts(texts)
+    keys = candidates(counts)
+    both = counts.where("key IS NULL AND positive > 0 AND positive < total").count() > 0
+    release(counts)
+    if not both:
+        return Model(np.zeros(0, _U), np.zeros(0))
+    order = np.argsort(keys)
+    shared = docs.sparkSession.sparkContext.broadcast((keys[order], order.astype(np.int16)))  # MAX_CANDIDATES fingerprints at most
 
     def run(batches):
+        known, place = shared.value
         for batch in batches:
             rows = byte_texts(batch.column(1))
             for a, b in passes(rows):
                 part = [t or b"" for t in rows[a:b]]
-                keys, owners = terms(part)
-                order = np.lexsort((keys, owners))
-                keys, owners = keys[order], owners[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = (np.diff(keys) != 0) | (np.diff(owners) != 0)
-                cuts = np.searchsorted(owners[new], np.arange(len(part) + 1)).astype(np.int32)
+                found, owners = _distinct(part)
+                at = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
+                hit = known[at] == found if len(known) else np.zeros(len(found), bool)
+                cuts = np.searchsorted(owners[hit], np.arange(len(part) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys[new].view(np.int64))), pa.array(patterns(part).tolist(), pa.list_(pa.bool_()))],
-                    names=["doc_id", "y", "terms", "patterns"],
+                    [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(cuts), pa.array(place[at[hit]], pa.int16())), pa.array(patterns(part).tolist(), pa.list_(pa.bool_()))],
+                    names=["doc_id", "terms", "patterns"],
                 )
 
-    found = texts.mapInArrow(run, "doc_id bigint, y int, terms array<bigint>, patterns array<boolean>").toArrow().sort_by("doc_id")
-    if not found.num_rows:
-        return Model(np.zeros(0, _U), np.zeros(0))
+    found = texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, terms array<smallint>, patterns array<boolean>").toArrow().sort_by("doc_id")
     lists = found.column("terms").combine_chunks()
-    flat, cuts = lists.flatten().to_numpy().view(_U), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    return fit([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.array(found.column("patterns").to_pylist(), float), found.column("y").to_numpy().astype(float))
+    flat, cuts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    return fit(keys, [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.array(found.column("patterns").to_pylist(), float))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

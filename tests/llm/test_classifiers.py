@@ -1,6 +1,7 @@
 """Toxicity, quality and language classifiers: held-out accuracy and edge cases."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -67,6 +68,63 @@ def test_toxicity_edges(spark, make, toxic_rows):
     assert len(toxicity.train(make(docs), unusable).weights) == 0
 
 
+def naive_terms(text):
+    words = re.findall(rb"[a-z'\x80-\xff]+", bytes(b + 32 if 65 <= b <= 90 else b for b in text))
+    return [("word", w) for w in words if len(w) >= 3] + [(k, w[:k]) for w in words for k in toxicity.PREFIXES if len(w) >= k]
+
+
+def naive_patterns(text):
+    upper, lower = len(re.findall(rb"[A-Z]", text)), len(re.findall(rb"[a-z]", text))
+    blank = len(re.findall(rb"[\x20\x09-\x0D]", text)) + 1  # the line that ends the text
+    return [upper > lower, 40 * text.count(b"!") > blank + 20, 10 * len(re.findall(rb"[#*$%&|<>]", text)) > blank + 20, blank <= 20]
+
+
+def test_toxicity_equals_brute_force(spark, make, toxic_rows):
+    docs, labels = toxic_rows
+    odd = [b"", b"Don't GRIMBA grimdo!!", "Ünder éé ab vileword".encode(), b"### $$ |", b"A!!!!" * 30, b"x" * 5000 + b" crudewords"]
+    texts = [t.encode() for _, t in docs[:200]] + odd
+    known = {}
+    for t in texts:
+        keys, owners = toxicity.terms([t])
+        want = naive_terms(t)
+        assert len(keys) == len(want) and not owners.any()
+        # the same multiset of terms: words first, then beginnings by length
+        for w, h in zip(sorted(want, key=lambda x: (x[0] != "word", x[0] if x[0] != "word" else 0)), keys.tolist()):
+            assert known.setdefault(w, h) == h
+        assert toxicity.patterns([t])[0].tolist() == naive_patterns(t)
+    assert len(set(known.values())) == len(known)
+    # candidates from counts, text by text
+    used = {i: y for i, y, _ in labels if not held(i, 4, 2)}
+    positive, total = {}, {}
+    for i, t in docs:
+        if i in used:
+            for w in set(naive_terms(t.encode())):
+                total[w] = total.get(w, 0) + 1
+                positive[w] = positive.get(w, 0) + used[i]
+    n1 = sum(used.values())
+    n0 = len(used) - n1
+
+    def ratio(w):
+        return ((positive[w] + 0.05) / (n1 + 1)) / ((total[w] - positive[w] + 0.05) / (n0 + 1))
+
+    want = sorted((w for w in total if positive[w] >= max(4, 0.006 * n1) and ratio(w) >= 60), key=lambda w: -positive[w] * np.log(ratio(w)))
+    sample = toxicity.sampled_texts(make(docs), toxicity.labelled_sample(frame(spark, labels), "toxic", 4, 2, 8000))
+    found = toxicity.candidates(toxicity._counts(sample)).tolist()
+    for t in (t.encode() for i, t in docs if i in used):
+        for w, h in zip(sorted(naive_terms(t), key=lambda x: (x[0] != "word", x[0] if x[0] != "word" else 0)), toxicity.terms([t])[0].tolist()):
+            known[w] = h
+    assert sorted(found) == sorted(known[w] for w in want) and known[want[0]] in found[:2]
+    # scores from the fitted weights, term by term
+    model = toxicity.train(make(docs), frame(spark, labels))
+    m = len(model.lexicon)
+    assert set(model.lexicon.tolist()) <= set(found) and m <= toxicity.MAX_VOTERS
+    at = {h: i for i, h in enumerate(model.lexicon.tolist())}
+    for t, s in zip(texts, model.score(texts)):
+        hits = [at[known[w]] for w in naive_terms(t) if known[w] in at]
+        z = sum(model.weights[i] for i in set(hits)) + np.log1p(len(hits)) * model.weights[m] + np.dot(naive_patterns(t), model.weights[m + 1 : -1]) + model.weights[-1]
+        assert s == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+
+
 def test_label_model_recovers_accuracies_and_correlations():
     draw = np.random.default_rng(3)
     y = draw.random(4000) < 0.3
@@ -109,24 +167,73 @@ def test_quality_held_out(spark, make, clashing):
     assert quality_classifier.quality(make([]), model).count() == 0
 
 
-def test_word_vectors_equal_brute_force(make):
-    texts = ["a bb a", "bb", "", None, "a c"]
-    dims, signs = quality_classifier.index_vectors()
-    table = np.zeros((quality_classifier.VOCABULARY, quality_classifier.DIMENSIONS))
-    count = np.zeros(quality_classifier.VOCABULARY)
+def naive_tokens(text):
+    """Words, those of more than 24 bytes in pieces of 8 cut between characters."""
+    out = []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", text):
+        if len(w) <= 24:
+            out.append(w)
+            continue
+        cuts = []
+        for c in range(0, len(w), 8):
+            while c < len(w) and w[c] & 0xC0 == 0x80:
+                c += 1
+            cuts.append(c)
+        out += [w[i:j] for i, j in zip(cuts, [*cuts[1:], len(w)])]
+    return out
+
+
+ODD = ["a bb a bb c", "bb", "", None, "a c bb d", "日本語のテキストには空白がありません だから切る", "x" * 100 + " " + "é" * 31, " \n "]
+
+
+def test_tokens_equal_brute_force():
+    texts = [(t or "").encode() for t in ODD]
+    tokens = quality_classifier.Tokens(texts)
+    want = [naive_tokens(t) for t in texts]
+    assert tokens.counts.tolist() == list(map(len, want)) and tokens.sizes.tolist() == [len(w) for t in want for w in t]
+    known = {}
+    for w, h in zip([w for t in want for w in t], tokens.hashes.tolist()):
+        assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+
+
+def naive_vectors(texts):
+    """The table of ``word_vectors`` word by word, with the tokens' own fingerprints as their draws."""
+    q = quality_classifier
+    table = np.zeros((q.VOCABULARY, q.DIMENSIONS + 1))
     for t in texts:
-        words = quality_classifier.Words([(t or "").encode()])
-        stream = [x for pair in zip(*quality_classifier.entries(words)) for x in pair]
-        for i, a in enumerate(stream):
-            count[a] += 1
-            for j in range(max(0, i - quality_classifier.REACH), min(len(stream), i + quality_classifier.REACH + 1)):
-                if j != i:
-                    for d, s in zip(dims[stream[j]], signs[stream[j]]):
-                        table[a, d] += s
-    table /= np.sqrt(count[:, None] + 1)
-    table = np.sign(table) * np.log1p(np.abs(table))
-    table /= np.linalg.norm(table, axis=1, keepdims=True) + 1e-6
-    assert np.allclose(quality_classifier.word_vectors(make(list(enumerate(texts)))), table, atol=1e-5)
+        tokens = q.Tokens([(t or "").encode()])
+        entries, (dims, signs) = list(zip(*tokens.entries())), tokens.index_vectors()
+        for i, own in enumerate(entries):
+            for entry in own:
+                table[entry, -1] += 1
+                for j in range(max(0, i - q.REACH), min(len(entries), i + q.REACH + 1)):
+                    if j != i:
+                        for d, s in zip(dims[j], signs[j]):
+                            table[entry, d] += s
+    v = table[:, :-1] / np.sqrt(table[:, -1:] + 1)
+    v = np.sign(v) * np.log1p(np.abs(v))
+    v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-6
+    return np.hstack([v, np.log1p(table[:, -1:] * 1e6 / max(table[:, -1].sum(), 1)) / 10])
+
+
+def test_word_vectors_and_scores_equal_brute_force(make):
+    want = naive_vectors(ODD)
+    found = quality_classifier.word_vectors(make(list(enumerate(ODD))).repartition(7))
+    assert np.allclose(found, want, atol=1e-5)
+    x = quality_classifier.pooled([(t or "").encode() for t in ODD], found)
+    for row, t in zip(x, ODD):
+        tokens = quality_classifier.Tokens([(t or "").encode()])
+        n = len(tokens.hashes)
+        v = [(want[a] + want[b]) / 2 for a, b in zip(*tokens.entries())]
+        mean = np.mean(v, axis=0) if n else np.zeros(quality_classifier.DIMENSIONS + 1)
+        near = [sum(v[i][:-1] @ v[i + g][:-1] for i in range(n - g)) / max(n, 1) for g in (1, 2)]
+        same = [sum(tokens.hashes[i] == tokens.hashes[i + g] for i in range(n - g)) / max(n, 1) for g in (1, 2)]
+        size = sum(tokens.sizes.tolist()) / max(n, 1) / 10
+        assert np.allclose(row, [*mean, np.linalg.norm(mean[:-1]), *near, *same, size, np.log1p(n) / 10], atol=1e-4), t
+    net = quality_classifier.fit(x.astype(float), np.array([0, 1] * 4, float), rounds=20)
+    z = [sum(np.tanh(sum((r[i] - net.shift[i]) / net.scale[i] * net.w1[i, h] for i in range(len(r))) + net.b1[h]) * net.w2[h] for h in range(len(net.w2))) + net.b2 for r in x.astype(float)]
+    assert np.allclose(net.score(x.astype(float)), 1 / (1 + np.exp(-np.array(z) / net.temperature)))
 
 
 def test_quality_without_labels(spark, make):
@@ -155,6 +262,29 @@ def test_languages_held_out(make, clashing):
     assert nothing is None and [r.lang_pred for r in language_id.identify(make([(1, "x")]), nothing).collect()] == ["und"]
 
 
+def test_network_equals_naive_convolution():
+    draw = np.random.default_rng(5)
+    batch = draw.integers(0, 256, (6, language_id.WINDOW)).astype(np.uint8)
+    net = language_id.fit(batch, np.array([0, 1, 2, 0, 1, 2]), ["aa", "bb", "cc"], rounds=3, size=4)
+    places = language_id.WINDOW - max(language_id.WIDTHS) + 1
+    for window, got in zip(batch, net.scores(batch)):
+        pooled = []
+        for f in range(net.filters.shape[1]):
+            width = language_id.WIDTHS[f // language_id.FILTERS]
+            kernel = net.filters[:, f].reshape(max(language_id.WIDTHS), language_id.EMBEDDING)
+            assert not kernel[width:].any()
+            best = max(sum(net.embedding[window[p + k]] @ kernel[k] for k in range(width)) for p in range(places))
+            pooled.append(max(best + net.bias[f], 0))
+        z = np.array(pooled) @ net.out + net.out_bias
+        assert np.allclose(got, z - np.log(np.exp(z).sum()), atol=1e-3)
+    text = batch.tobytes()[:700]
+    cut, _ = language_id.windows([text])
+    mean = net.scores(cut).mean(axis=0)
+    best, score = net.predict([text])
+    p = np.exp(mean) / np.exp(mean).sum()
+    assert best[0] == p.argmax() and score[0] == pytest.approx(p.max(), abs=1e-4)
+
+
 def test_windows_cover_the_whole_text():
     texts = [b"a" * 256, b"b" * 257, b"c"]
     cut, count = language_id.windows(texts)

@@ -6,7 +6,7 @@
 3. Suffix-array dedup: passages of 50 words or more that an earlier document
    holds are cut from the text; ``n_chars`` follows the text.
 4. Benchmark decontamination: documents that hold a benchmark item go.
-5. SentencePiece encoding: pieces of the best segmentation and N-best scores.
+5. SentencePiece encoding: pieces and scores of the N best segmentations.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinwright.llm import decontamination, near_dedup, piece_lattice, quality_rules, suffix_dedup
-from joinwright.llm.storage import checkpoint
+from joinwright.llm.storage import checkpoint, release
 
 
 def _quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies every stage to ``documents``; each stage's rows are written as Parquet and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = checkpoint(docs)
+            if before is not None:
+                release(before)
+            before = docs
     return docs

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from joinwright.llm.components import components
 from joinwright.llm.runs import sorted_runs
 from joinwright.llm.storage import checkpoint, release
-from joinwright.llm.textcore import ASCII_LOWER, IDENTITY, Words, byte_texts, mix, passes, signed, window_hashes
+from joinwright.llm.textcore import ASCII_LOWER, IDENTITY, Words, mix, passes, signed, text_passes, window_hashes
 
 ROWS = 4
 BINS = 1024
@@ -173,20 +173,21 @@ def _signatures(docs: DataFrame, size: int, fold_case: bool, signer: Signer) ->
 
     def run(batches):
         for batch in batches:
-            n, lo, hi, bands, sketches, samples = [], [], [], [], [], []
-            for x in shingle_sets(byte_texts(batch.column(1)), size, fold_case):
-                n.append(len(x))
-                with np.errstate(over="ignore"):
-                    lo.append(int(signed(mix(x).sum(keepdims=True))[0]) if len(x) else 0)
-                    hi.append(int(signed(mix(x ^ _U(0xA5A5A5A5A5A5A5A5)).sum(keepdims=True))[0]) if len(x) else 0)
-                bands.append(signed(signer.band_keys(x)) if len(x) else None)
-                sketch, m = signer.odd_sketch(x)
-                sketches.append(sketch)
-                samples.append(m)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(samples, pa.int32())],
-                names=["doc_id", "n_shingles", "set_lo", "set_hi", "bands", "sketch", "samples"],
-            )
+            for first, end, texts in text_passes(batch.column(1)):
+                n, lo, hi, bands, sketches, samples = [], [], [], [], [], []
+                for x in shingle_sets(texts, size, fold_case):
+                    n.append(len(x))
+                    with np.errstate(over="ignore"):
+                        lo.append(int(signed(mix(x).sum(keepdims=True))[0]) if len(x) else 0)
+                        hi.append(int(signed(mix(x ^ _U(0xA5A5A5A5A5A5A5A5)).sum(keepdims=True))[0]) if len(x) else 0)
+                    bands.append(signed(signer.band_keys(x)) if len(x) else None)
+                    sketch, m = signer.odd_sketch(x)
+                    sketches.append(sketch)
+                    samples.append(m)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(samples, pa.int32())],
+                    names=["doc_id", "n_shingles", "set_lo", "set_hi", "bands", "sketch", "samples"],
+                )
 
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_lo bigint, set_hi bigint, bands array<bigint>, sketch binary, samples int")
 
@@ -196,8 +197,9 @@ def _sets(docs: DataFrame, size: int, fold_case: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [signed(x) for x in shingle_sets(byte_texts(batch.column(1)), size, fold_case)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            for a, b, texts in text_passes(batch.column(1)):
+                sets = [signed(x) for x in shingle_sets(texts, size, fold_case)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from joinwright.llm.runs import sorted_runs
 from joinwright.llm.storage import checkpoint, release
-from joinwright.llm.textcore import WHITESPACE, Words, byte_texts, passes, signed, window_hashes
+from joinwright.llm.textcore import WHITESPACE, Words, signed, text_passes, window_hashes
 
 MIN_WORDS = 50
 GRAM = 16
@@ -106,10 +106,9 @@ def _retained(docs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = byte_texts(batch.column(2))
             ids, prints = batch.column(0), batch.column(1)
-            for a, b in passes(texts):
-                words = Words([t or b"" for t in texts[a:b]])
+            for a, _, texts in text_passes(batch.column(2)):
+                words = Words([t or b"" for t in texts])
                 text, gram, one, two, lo, n = anchors(words, min_words)
                 rows = pa.array(text + a)
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(one), pa.array(two), ids.take(rows), prints.take(rows), pa.array(lo), pa.array(n)], names=_NAMES)
@@ -122,9 +121,9 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts, parts = byte_texts(batch.column(2)), batch.column(3)
-            for a, b in passes(texts):
-                words = Words([t or b"" for t in texts[a:b]])
+            parts = batch.column(3)
+            for a, b, texts in text_passes(batch.column(2)):
+                words = Words([t or b"" for t in texts])
                 part = parts.slice(a, b - a)
                 rows = np.repeat(np.arange(b - a), np.asarray(part.value_lengths()))
                 flat = part.flatten()

@@ -14,9 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled in one numpy pass; a longer text forms a pass of its own.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 19
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
@@ -145,6 +146,22 @@ def passes(texts: list[bytes | None], limit: int = PASS_BYTES) -> Iterator[tuple
         yield at, len(texts)
 
 
+def text_passes(column: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """Runs of rows of about ``limit`` bytes, as (first, end, texts); only one run's texts are held at a time."""
+    if pa.types.is_null(column.type):
+        sizes = np.zeros(len(column), np.int64)
+    else:
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at, size = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > at and size + n > limit:
+            yield at, i, byte_texts(column.slice(at, i - at))
+            at, size = i, 0
+        size += n + 1
+    if at < len(column):
+        yield at, len(column), byte_texts(column.slice(at))
+
+
 def annotate(df, text_col: str, fn, fields: list[tuple[str, str]], into: str):
     """Adds struct column ``into`` computed by ``fn(list[bytes | None]) -> list of arrays``.
 
@@ -164,16 +181,9 @@ def annotate(df, text_col: str, fn, fields: list[tuple[str, str]], into: str):
 
     def run(batches):
         for batch in batches:
-            texts = byte_texts(batch.column(where))
-            found: list[list[pa.Array]] = [[] for _ in inner]
-            for a, b in passes(texts):
-                for bag, x in zip(found, fn(texts[a:b]), strict=True):
-                    bag.append(x)
-            arrays = [
-                pa.concat_arrays([pa.array(x, f.type) for x in bag]) if bag else pa.array([], f.type)
-                for bag, f in zip(found, inner, strict=True)
-            ]
-            struct = pa.StructArray.from_arrays(arrays, fields=list(inner))
-            yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*columns, into])
+            for a, b, texts in text_passes(batch.column(where)):
+                arrays = [pa.array(x, f.type) for x, f in zip(fn(texts), inner, strict=True)]
+                struct = pa.StructArray.from_arrays(arrays, fields=list(inner))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, struct], names=[*columns, into])
 
     return df.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, out)

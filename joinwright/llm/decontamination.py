@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinwright.llm.storage import checkpoint, release
+from joinwright.llm.storage import checkpoint, hold, release
 from joinwright.llm.textcore import Words, byte_texts, mix, passes, signed, window_hashes
 
 WINDOW = 8
@@ -242,10 +242,10 @@ def _rarest(items: DataFrame, min_coverage: float) -> DataFrame:
             aside += 1
         return group.iloc[aside:][["window", "k", "id", "print"]]
 
-    common = checkpoint(items.select("window", "k", "id", "print").distinct().groupBy("window", "k").agg(F.count("*").alias("n_items")))
+    common = items.select("window", "k", "id", "print").distinct().groupBy("window", "k").agg(F.count("*").alias("n_items"))
     rated = items.join(common, ["window", "k"]).select("id", "print", "window", "k", "at", "low", "high", "n_tokens", "n_items")
     found = rated.groupBy("id", "print").applyInPandas(keep, "window bigint, k int, id bigint, print bigint").distinct()
-    return checkpoint(found.select("window", "k", F.col("id").alias("item_id"), F.col("print").alias("item_print")))
+    return hold(found.select("window", "k", F.col("id").alias("item_id"), F.col("print").alias("item_print")))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_coverage: float = 0.0) -> DataFrame:

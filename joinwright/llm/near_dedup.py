@@ -19,8 +19,8 @@
 
 The number of bands is chosen so that a pair at the threshold shares no band
 with probability below 1e-5.  Nothing is collected to the driver.  Buckets are
-runs of a sorted table, and sides that are aggregated by bucket or hub are written
-as tables, so that a bucket, a hub or a group of copies with a third of all rows
+runs of a sorted table, and sides that are aggregated by bucket or hub are kept
+apart, so that a bucket, a hub or a group of copies with a third of all rows
 is split over many tasks.
 
 Edge cases: null or empty texts and texts without words have the empty set, are
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from joinwright.llm.components import components
 from joinwright.llm.runs import sorted_runs
-from joinwright.llm.storage import checkpoint, release
+from joinwright.llm.storage import checkpoint, hold, release
 from joinwright.llm.textcore import ASCII_LOWER, IDENTITY, Words, mix, passes, signed, text_passes, window_hashes
 
 ROWS = 4
@@ -322,15 +322,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # equal sets: one representative
     equal, table = sorted_runs(known.select(F.col("set_lo").alias("k0"), F.col("set_hi").alias("k1"), F.col("n_shingles").alias("k2"), F.col("doc_id").alias("o0"), zero.alias("o1"), zero.alias("o2"), zero.alias("payload")))
-    copies = checkpoint(equal.where("copy").select(F.col("o0").alias("doc_id"), F.col("k0").alias("set_lo"), F.col("k1").alias("set_hi"), F.col("h0").alias("rep")).distinct())
-    release(table)
+    copies = hold(equal.where("copy").select(F.col("o0").alias("doc_id"), F.col("k0").alias("set_lo"), F.col("k1").alias("set_hi"), F.col("h0").alias("rep")).distinct())
     reps = known.join(copies, ["doc_id", "set_lo", "set_hi"], "left_anti").dropDuplicates(["doc_id", "set_lo", "set_hi"])
 
     # band buckets with two members or more
-    banded = checkpoint(reps.select(F.explode("bands").alias("k0"), zero.alias("k1"), zero.alias("k2"), F.col("doc_id").alias("o0"), zero.alias("o1"), zero.alias("o2"), zero.alias("payload")))
+    banded = hold(reps.select(F.explode("bands").alias("k0"), zero.alias("k1"), zero.alias("k2"), F.col("doc_id").alias("o0"), zero.alias("o1"), zero.alias("o2"), zero.alias("payload")))
     slots, slot_table = sorted_runs(banded)
     release(banded)
-    wanted = checkpoint(slots.select(F.col("o0").alias("doc_id")).distinct())
+    wanted = hold(slots.select(F.col("o0").alias("doc_id")).distinct())
     # where an id comes with several texts, each text is compared
     sketches = checkpoint(reps.select("doc_id", "sketch", "samples", "n_shingles", "bands").join(wanted, "doc_id", "left_semi"))
     texts = docs.withColumn("print", F.xxhash64("text")).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "print"])
@@ -338,19 +337,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     partner = F.explode(F.array_distinct(F.array_compact(F.array("h0", "q0"))))
     pairs = slots.select("o0", partner.alias("other")).where("o0 <> other").select(F.greatest("o0", "other").alias("a"), F.least("o0", "other").alias("b")).distinct()
-    links = checkpoint(_confirm(_agreeing(pairs, sketches, threshold), sets, percent))
+    links = hold(_confirm(_agreeing(pairs, sketches, threshold), sets, percent))
     part = components(links)
 
     # buckets that are not yet one component
     labelled = slots.select(F.col("k0").alias("bucket"), F.col("o0").alias("doc_id")).distinct().join(part, F.col("doc_id") == F.col("node"), "left")
-    labelled = checkpoint(labelled.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")))
-    release(slot_table)
-    mixed = checkpoint(_blocks(labelled))
-    more = checkpoint(_confirm(_cross_pairs(labelled.join(mixed, "bucket").join(sketches, "doc_id"), threshold), sets, percent))
-    release(sets, sketches, labelled, mixed, wanted)
+    labelled = hold(labelled.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    mixed = hold(_blocks(labelled))
+    more = _confirm(_cross_pairs(labelled.join(mixed, "bucket").join(sketches, "doc_id"), threshold), sets, percent)
 
     found = components(links.unionByName(more).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    release(links, more, copies)
+    release(links, labelled, mixed, sets, sketches, wanted, slot_table, copies, table)
     sized = signed_docs.select("doc_id", "n_shingles")
     joined = sized.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     # rows without an id are linked with nothing, and do not meet in one task

@@ -43,9 +43,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keeps a small side that is aggregated from tables, so that it is computed once and a join reads it directly.
+
+    It has a short lineage of tables, from which lost blocks are computed again;
+    unlike ``checkpoint`` it leaves no files.
+    """
+    return df.persist()
+
+
 def release(*tables: DataFrame) -> None:
-    """Deletes tables made by ``checkpoint`` that nothing reads any more."""
+    """Frees what ``checkpoint`` or ``hold`` made and nothing reads any more."""
     for df in tables:
-        path, fs = _path(df.sparkSession, df._joinwright_table)
+        where = getattr(df, "_joinwright_table", None)
+        if where is None:
+            df.unpersist()
+            continue
+        path, fs = _path(df.sparkSession, where)
         fs.delete(path, True)
         fs.cancelDeleteOnExit(path)

@@ -41,8 +41,8 @@ from joinwright.llm.vocabulary import MARK, Memo, balanced, model_path, processo
 
 N_BEST = 4
 #: Characters segmented together: larger runs share more words, smaller ones need less memory.
-BATCH_CHARS = 2_000_000
-MEMO_BYTES = 32 << 20
+BATCH_CHARS = 1_000_000
+MEMO_BYTES = 8 << 20
 #: Score of a character without a piece, under the lowest score of the model.
 PENALTY = 10.0
 

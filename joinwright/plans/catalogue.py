@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from joinwright.config import JoinConfig
 from joinwright.functions.columns import money_sum
 from joinwright.operators.bands import band_join
 from joinwright.operators.joins import join, left_where_missing, not_in
+from joinwright.plans.steer import sql
 from joinwright.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,6 +287,30 @@ def star5(t, s):
     return found.groupBy("r_name").agg(F.count("*").alias("n"), money_sum("l_extendedprice").alias("rev"))
 
 
+def _plain(name, text, tables, config=None, label=""):
+    """Registers SQL as it stands, its joins planned by the advisor; ``label`` names the switches of ``config``."""
+    key = f"sql_{name}" + (f"_{label}" if label else "")
+    marked = text
+    for t in tables.split():
+        marked = re.sub(rf"\b{t}\b", "{" + t + "}", marked)
+    _QUERIES[key] = lambda spark, sf_dir: sql(spark, marked, config, **{t: table(spark, sf_dir, t) for t in tables.split()})
+    _SQL[key] = text
+
+
+_SWITCHES = {"": None, "merge": JoinConfig(enable_hashjoin=False), "hash": JoinConfig(enable_mergejoin=False, broadcast_bytes=0), "off": JoinConfig(enable=False)}
+for _label, _config in _SWITCHES.items():
+    _plain("where", "select n_name, count(*) n from customer, nation where c_nationkey=n_nationkey group by n_name", "customer nation", _config, _label)
+    _plain("using", "select doc_id, quality, lang from documents join labels using (doc_id)", "documents labels", _config, _label)
+    _plain("left_is_null", "select c.c_custkey from customer c left join (select * from orders where o_totalprice>400000) o on c.c_custkey=o.o_custkey where o.o_custkey is null", "customer orders", _config, _label)
+    _plain("left_value_is_null", "select c.c_custkey, count(*) n from customer c left join (select o_custkey, case when o_orderkey%3=0 then null else o_totalprice end p from orders) o on c.c_custkey=o.o_custkey where o.p is null group by c.c_custkey", "customer orders", _config, _label)
+    _plain("exists", "select c_custkey from customer where exists (select 1 from orders where o_custkey=c_custkey and o_totalprice>400000)", "customer orders", _config, _label)
+    _plain("right", "select o_orderkey, c_custkey from orders right join customer on o_custkey=c_custkey and o_totalprice>400000", "orders customer", _config, _label)
+    _plain("full", "select n_nationkey, s_suppkey from nation full join supplier on n_nationkey=s_suppkey", "nation supplier", _config, _label)
+    _plain("residual", "select count(*) n from lineitem l join orders o on l.l_orderkey=o.o_orderkey and o.o_totalprice>l.l_extendedprice*3", "lineitem orders", _config, _label)
+_plain("not_in", "select count(*) n from customer where c_custkey not in (select o_custkey from orders where o_totalprice>400000)", "customer orders")
+_plain("theta", "select s_suppkey, count(*) n from supplier join customer on s_acctbal<c_acctbal and s_nationkey>c_nationkey group by s_suppkey", "supplier customer")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -11,8 +11,9 @@ from joinwright.functions.columns import int_div, nulls_last
 from joinwright.operators.bands import band_join
 from joinwright.operators.joins import hash_join, join, left_where_missing, merge_join, nested_loop_join, not_in
 from joinwright.plans.advisor import Size, advise, choose, relation_bytes
-from joinwright.plans.explain import describe, join_operators
+from joinwright.plans.explain import describe, join_operators, properties
 from joinwright.plans.spec import Spec, clauses
+from joinwright.plans.steer import advice_of, sql, steer
 from joinwright.sources import tables
 from pyspark.sql import functions as F
 
@@ -235,6 +236,93 @@ def test_settings(spark):
     assert loaded()
 
 
+def test_switches_act_on_plain_sql(spark, sf):
+    o, c = tables.table(spark, sf, "orders"), tables.table(spark, sf, "customer")
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.join.preferSortMergeJoin", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold")
+    before = [spark.conf.get(k, None) for k in keys]
+    batch = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+
+    def ran():
+        found = spark.sql("select * from {o} join {c} on o_custkey=c_custkey", o=o, c=c)
+        found.collect()
+        return join_operators(found)
+
+    try:
+        JoinConfig(enable_hashjoin=False).apply(spark)
+        assert ran() == ["SortMergeJoin"]
+        JoinConfig(enable_hashjoin=False).apply(spark)
+        JoinConfig(enable_mergejoin=False).apply(spark)
+        assert ran() == ["BroadcastHashJoin"]
+        JoinConfig(enable=False, enable_hashjoin=False).apply(spark)
+        assert ran() == ["BroadcastHashJoin"]
+    finally:
+        JoinConfig().apply(spark)
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", batch)
+    assert [spark.conf.get(k, None) for k in keys] == before
+
+
+def test_sql_is_planned_by_the_advisor(spark, sf):
+    t = {n: tables.table(spark, sf, n) for n in ("customer", "orders", "nation", "supplier")}
+
+    def plan(text, **switches):
+        found = sql(spark, text, JoinConfig(**switches), **t)
+        plain = spark.sql(text, **t)
+        assert rows(found) == rows(plain) and found.dtypes == plain.dtypes
+        return join_operators(found)
+
+    where = "select c_name, n_name from {customer}, {nation} where c_nationkey=n_nationkey"
+    assert plan(where) == ["BroadcastHashJoin"]
+    assert plan(where, enable_hashjoin=False) == ["SortMergeJoin"]
+    assert plan(where, broadcast_bytes=0) == ["ShuffledHashJoin"]
+    assert plan(where, broadcast_bytes=0, hash_task_bytes=0) == ["SortMergeJoin"]
+    assert plan("select * from {orders} right join {customer} on o_custkey=c_custkey", enable_hashjoin=False) == ["SortMergeJoin"]
+    assert plan("select n_name, s_name from {nation} full join {supplier} on n_nationkey=s_suppkey", enable_mergejoin=False) == ["ShuffledHashJoin"]
+    assert plan("select n_name, s_name from {nation} join {supplier} on n_nationkey<s_suppkey", broadcast_bytes=0) == ["CartesianProduct"]
+    # a join that carries a hint, and any join while the engine is off, is left alone
+    assert plan("select /*+ MERGE(n) */ c_name from {customer} c join {nation} n on c_nationkey=n_nationkey") == ["SortMergeJoin"]
+    assert plan(where, enable=False) == plan(where, enable_hashjoin=False, enable_mergejoin=False, enable_nestloop=False)
+    flipped = sql(spark, "select * from {customer} right join {orders} on c_custkey=o_custkey", **t)
+    assert [(a.strategy, a.side) for a in advice_of(flipped)] == [("broadcast_hash", "left")]
+    assert list(advice_of(steer(t["orders"]))) == []
+
+
+def test_left_join_is_null_is_recognised(spark):
+    spark.createDataFrame([(1, "a"), (2, "b"), (None, "n"), (5, "e")], "id int, p string").createOrReplaceTempView("outer_side")
+    spark.createDataFrame([(1, None), (4, "z"), (None, "skip"), (5, "v")], "id int, note string").createOrReplaceTempView("inner_side")
+
+    def types(tail, on="o.id = i.id", columns="o.id, o.p"):
+        text = f"select {columns} from outer_side o left join inner_side i on {on} where {tail}"
+        assert rows(sql(spark, text)) == rows(spark.sql(text))
+        return [p["type"] for p in properties(sql(spark, text))]
+
+    try:
+        assert types("i.id is null") == ["LeftAnti"]
+        assert types("i.id is null and o.id > 1") == ["LeftAnti"]
+        assert types("i.id is null", "o.id = i.id and i.note is not null") == ["LeftAnti"]
+        # the value may be NULL in a match, a null-safe key too, and the right columns may be asked for
+        assert types("i.note is null") == ["LeftOuter"]
+        assert types("i.id is null", "o.id <=> i.id") == ["LeftOuter"]
+        assert types("i.id is null", columns="o.id, i.note") == ["LeftOuter"]
+    finally:
+        spark.catalog.dropTempView("outer_side")
+        spark.catalog.dropTempView("inner_side")
+
+
+def test_properties_of_joins(spark, sf):
+    l, o = tables.table(spark, sf, "lineitem"), tables.table(spark, sf, "orders")
+    found = hash_join(l, o, [("l_orderkey", "o_orderkey")], residual="r.o_totalprice > 1000")
+    for _ in range(2):  # before and after the adaptive plan has run
+        (p,) = properties(found)
+        assert (p["strategy"], p["type"], p["build_side"], p["residual_reads"]) == ("BroadcastHashJoin", "Inner", "right", [])
+        assert "l_orderkey" in p["left_keys"][0] and "o_orderkey" in p["right_keys"][0] and p["build_bytes"] > 0
+        found.collect()
+    (p,) = properties(merge_join(l, o, [("l_orderkey", "o_orderkey")], "left", residual="l.l_quantity > 2 and r.o_totalprice > l.l_extendedprice"))
+    assert (p["strategy"], p["type"], p["build_side"], p["build_bytes"]) == ("SortMergeJoin", "LeftOuter", None, None)
+    assert p["residual_reads"] == ["left", "right"] and p["batch_size"] > 0 and p["partitions"] == 4
+    (p,) = properties(nested_loop_join(l, o, [("l_orderkey", "<", "o_orderkey")], config=JoinConfig(broadcast_bytes=0)))
+    assert (p["strategy"], p["left_keys"], p["build_side"], p["residual_reads"]) == ("CartesianProduct", [], None, ["left", "right"])
+
+
 def test_plans_follow_the_strategy(spark, sf):
     orders, customer = tables.table(spark, sf, "orders"), tables.table(spark, sf, "customer")
     on = [("o_custkey", "c_custkey")]

@@ -97,8 +97,9 @@ def sorted_runs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``df`` has the bigint columns COLUMNS, none null: keys k0 to k2, an order o0
     to o2 within equal keys, and a payload; it should be a table, as it is read
     twice.  The result has those and h0 to h2, the order columns of the first row
-    with equal keys; q0, the o0 of the row before it in its run, null for the first; ``copy``, whether that is another row; and ``varied``, which
-    marks some row of each run whose k0 has other runs.  A few rows of a single k0 may
+    with equal keys; q0, the o0 of the row before it in its run, null for the first; ``copy``, whether that is another row; ``varied``, which
+    marks some row of each run whose k0 has other runs; and ``part``, the partition of
+    the sort that holds the row.  A few rows of a single k0 may
     stay.  The second result is the table behind it, to be released.
     """
     schema = ", ".join(f"{c} bigint" for c in (*COLUMNS, *HEAD, "q0")) + ", fresh boolean, varied boolean, opens boolean, ends boolean, part int"
@@ -111,6 +112,6 @@ def sorted_runs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     head = [F.when(carried, F.col(f"c{i}")).otherwise(F.col(h)).alias(h) for i, h in enumerate(HEAD)]
     varied = F.col("varied") | (F.col("opens") & F.col("fresh") & F.col("first_varied")) | (F.col("ends") & F.col("last_varied"))
     ahead = F.when(F.col("opens") & F.col("fresh"), F.col("l0")).otherwise(F.col("q0")).alias("q0")
-    found = table.join(F.broadcast(edges), "part").select(*COLUMNS, *head, ahead, varied.alias("varied"))
+    found = table.join(F.broadcast(edges), "part").select(*COLUMNS, *head, ahead, varied.alias("varied"), "part")
     copy = F.struct(*ORDER) != F.struct(*(F.col(h).alias(o) for h, o in zip(HEAD, ORDER, strict=True)))
     return found.withColumn("copy", copy), table

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from joinwright.llm.runs import sorted_runs
+from joinwright.llm.runs import HEAD, sorted_runs
 from joinwright.llm.storage import checkpoint, hold, release
 from joinwright.llm.textcore import WHITESPACE, Words, signed, text_passes, window_hashes
 
@@ -172,9 +172,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     release(extended)
 
     later = windows.where("copy").select(F.col("o0").alias("doc_id"), F.col("o1").alias("print"), F.col("o2").alias("at"), F.col("payload").alias("lo"), F.col("h0").alias("source"))
-    # kept apart, so that the join below can split the copies of one passage
     sources = hold(later.groupBy("doc_id", "print", "lo").agg(F.min("source").alias("source")).select(F.col("doc_id").alias("h0"), F.col("print").alias("h1"), F.col("lo").alias("h2"), "source"))
-    copies = suffixes.where("copy").select(*("o0 o1 o2 payload h0 h1 h2".split())).join(sources, ["h0", "h1", "h2"], "left")
+    copies = suffixes.where("copy").select("o0", "o1", "o2", "payload", *HEAD, "part")
+    # a passage has copies in as many parts of the sorted table as they need, and they get their source part by part
+    known = copies.select("part", *HEAD).distinct().join(sources, [*HEAD])
+    copies = copies.join(known, ["part", *HEAD], "left")
 
     def span(start: str, length: Column, source: Column) -> list[Column]:
         start = F.col(start)

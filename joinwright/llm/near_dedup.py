@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from joinwright.llm.components import components
 from joinwright.llm.runs import sorted_runs
+from joinwright.llm.sieve import Sieve
 from joinwright.llm.storage import checkpoint, hold, release
 from joinwright.llm.textcore import ASCII_LOWER, IDENTITY, Words, mix, passes, signed, text_passes, window_hashes
 
@@ -330,9 +331,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slots, slot_table = sorted_runs(banded)
     release(banded)
     wanted = hold(slots.select(F.col("o0").alias("doc_id")).distinct())
-    # where an id comes with several texts, each text is compared
-    sketches = checkpoint(reps.select("doc_id", "sketch", "samples", "n_shingles", "bands").join(wanted, "doc_id", "left_semi"))
-    texts = docs.withColumn("print", F.xxhash64("text")).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "print"])
+    # a few ids that are not wanted may pass; nothing joins them. Where an id comes with several texts, each text is compared
+    sieve = Sieve(wanted)
+    some = sieve.passed(known, "doc_id").join(copies, ["doc_id", "set_lo", "set_hi"], "left_anti").dropDuplicates(["doc_id", "set_lo", "set_hi"])
+    sketches = checkpoint(some.select("doc_id", "sketch", "samples", "n_shingles", "bands"))
+    texts = sieve.passed(docs.where("doc_id IS NOT NULL"), "doc_id").withColumn("print", F.xxhash64("text")).dropDuplicates(["doc_id", "print"])
     sets = checkpoint(_sets(texts, shingle, fold_case))
 
     partner = F.explode(F.array_distinct(F.array_compact(F.array("h0", "q0"))))
@@ -347,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _confirm(_cross_pairs(labelled.join(mixed, "bucket").join(sketches, "doc_id"), threshold), sets, percent)
 
     found = components(links.unionByName(more).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    release(links, labelled, mixed, sets, sketches, wanted, slot_table, copies, table)
+    release(links, labelled, mixed, sets, sketches, wanted, sieve.pages, slot_table, copies, table)
     sized = signed_docs.select("doc_id", "n_shingles")
     joined = sized.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     # rows without an id are linked with nothing, and do not meet in one task
@@ -358,8 +361,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that are the first of their component, columns unchanged."""
     gone = near_duplicates(docs, id_col=id_col, **options).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    key = docs[id_col].cast("bigint")
-    return docs.where(key.isNotNull()).join(gone, key == gone["__gone"], "left_anti").unionByName(docs.where(key.isNull()))
+    files = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    gone = checkpoint(gone.coalesce(files))
+    sieve, key = Sieve(gone), docs[id_col].cast("bigint")
+    # only rows that may go are shuffled
+    tested = sieve.passed(docs.where(key.isNotNull()), key).join(gone, key == gone["__gone"], "left_anti")
+    return tested.unionByName(sieve.stopped(docs.where(key.isNotNull()), key)).unionByName(docs.where(key.isNull()))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

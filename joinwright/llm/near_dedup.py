@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from joinwright.llm.components import components
 from joinwright.llm.runs import sorted_runs
 from joinwright.llm.sieve import Sieve
-from joinwright.llm.storage import checkpoint, hold, release
+from joinwright.llm.storage import checkpoint, few_files, hold, release
 from joinwright.llm.textcore import ASCII_LOWER, IDENTITY, Words, mix, passes, signed, text_passes, window_hashes
 
 ROWS = 4
@@ -334,9 +334,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a few ids that are not wanted may pass; nothing joins them. Where an id comes with several texts, each text is compared
     sieve = Sieve(wanted)
     some = sieve.passed(known, "doc_id").join(copies, ["doc_id", "set_lo", "set_hi"], "left_anti").dropDuplicates(["doc_id", "set_lo", "set_hi"])
-    sketches = checkpoint(some.select("doc_id", "sketch", "samples", "n_shingles", "bands"))
+    files = few_files(docs.sparkSession)
+    sketches = checkpoint(some.select("doc_id", "sketch", "samples", "n_shingles", "bands").coalesce(files))
     texts = sieve.passed(docs.where("doc_id IS NOT NULL"), "doc_id").withColumn("print", F.xxhash64("text")).dropDuplicates(["doc_id", "print"])
-    sets = checkpoint(_sets(texts, shingle, fold_case))
+    sets = checkpoint(_sets(texts, shingle, fold_case).coalesce(files))
 
     partner = F.explode(F.array_distinct(F.array_compact(F.array("h0", "q0"))))
     pairs = slots.select("o0", partner.alias("other")).where("o0 <> other").select(F.greatest("o0", "other").alias("a"), F.least("o0", "other").alias("b")).distinct()

@@ -11,11 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joinwright.llm.storage import checkpoint
+from joinwright.llm.storage import checkpoint, few_files
 
 KEYS, ORDER, HEAD = ("k0", "k1", "k2"), ("o0", "o1", "o2"), ("h0", "h1", "h2")
 COLUMNS = [*KEYS, *ORDER, "payload"]
@@ -63,10 +62,12 @@ class _Partition:
 
 
 def _compare(batches):
-    partition, rest = _Partition(TaskContext.get().partitionId()), None
+    partition, rest = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
+        # a task that writes several partitions runs this for each
+        partition = partition or _Partition(batch.column(len(COLUMNS))[0].as_py())
         table = {c: batch.column(i).to_numpy() for i, c in enumerate(COLUMNS)}
         if rest is not None:
             table = {c: np.concatenate([rest[c], table[c]]) for c in COLUMNS}
@@ -104,7 +105,8 @@ def sorted_runs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     schema = ", ".join(f"{c} bigint" for c in (*COLUMNS, *HEAD, "q0")) + ", fresh boolean, varied boolean, opens boolean, ends boolean, part int"
     order = [*KEYS, *ORDER]
-    table = checkpoint(df.select(*COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare, schema))
+    dealt = df.select(*COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    table = checkpoint(dealt.mapInArrow(_compare, schema).coalesce(few_files(df.sparkSession)))
     facts = table.where("(opens AND fresh) OR ends").groupBy("part").agg(F.min(F.struct(*order)), F.max(F.struct(*order, *HEAD)))
     rows = _settled(sorted(tuple(r) for r in facts.collect()))  # a row for each partition
     edges = df.sparkSession.createDataFrame(rows, "part int, c0 bigint, c1 bigint, c2 bigint, l0 bigint, first_varied boolean, last_varied boolean")

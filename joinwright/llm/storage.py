@@ -26,6 +26,15 @@ def _path(spark: SparkSession, where: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def few_files(spark: SparkSession) -> int:
+    """Files for a table of shuffled rows: a quarter of the shuffle partitions, and no fewer than there are cores.
+
+    On a local disk without Hadoop's native library, each file that an executor
+    opens makes its JVM fork ``chmod`` twice.
+    """
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes ``df`` under the shared folder and reads it back.
 

@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from joinwright.llm.runs import HEAD, sorted_runs
-from joinwright.llm.storage import checkpoint, hold, release
+from joinwright.llm.storage import checkpoint, few_files, hold, release
 from joinwright.llm.textcore import WHITESPACE, Words, signed, text_passes, window_hashes
 
 MIN_WORDS = 50
@@ -167,7 +167,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     firsts = suffixes.where("varied").select(F.col("h0").alias("doc_id"), F.col("h1").alias("print"), F.col("h2").alias("lo"), F.col("payload").alias("n")).distinct()
     parts = firsts.groupBy("doc_id", "print").agg(F.collect_list(F.struct("lo", "n")).alias("parts"))
     texts = docs.join(parts, ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
-    extended = checkpoint(_windows(texts, min_words))
+    extended = checkpoint(_windows(texts, min_words).coalesce(few_files(docs.sparkSession)))
     windows, window_table = sorted_runs(extended)
     release(extended)
 
@@ -184,7 +184,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     whole = copies.select(F.col("o0").alias("doc_id"), F.col("o1").alias("print"), *span("o2", F.col("payload") - 1 + min_words, F.least("h0", "source")))
     single = later.select("doc_id", "print", *span("at", F.lit(min_words), F.col("source")))
-    found = checkpoint(whole.unionByName(single))
+    found = checkpoint(whole.unionByName(single).coalesce(few_files(docs.sparkSession)))
     release(suffix_table, window_table, sources)
     return _united(found)
 

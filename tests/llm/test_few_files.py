@@ -1,0 +1,41 @@
+"""Sorted tables are written in fewer files than they have partitions, and their runs stay right."""
+
+import glob
+import random
+
+from pyspark.sql import functions as F
+
+from joinwright.llm.runs import sorted_runs
+from joinwright.llm.storage import few_files, release
+
+
+def test_runs_over_partitions_that_share_a_file(spark):
+    draw = random.Random(5)
+    # a key with a third of all rows lies in many partitions
+    keys = [draw.choice([7, draw.randrange(400), draw.randrange(400)]) for _ in range(3000)]
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        zero = F.lit(0).cast("bigint")
+        df = spark.createDataFrame(list(zip(keys, range(3000))), "k0 bigint, o0 bigint").select("k0", zero.alias("k1"), zero.alias("k2"), "o0", zero.alias("o1"), zero.alias("o2"), zero.alias("payload"))
+        found, table = sorted_runs(df)
+        rows = found.collect()
+        files = glob.glob(f"{table._joinwright_table.removeprefix('file://')}/part-*")
+        most = few_files(spark)
+        release(table)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({r.part for r in rows}) > most >= len(files)
+    first, last = {}, {}
+    for o, k in enumerate(keys):
+        first.setdefault(k, o)
+    several = {k for k in first if keys.count(k) > 1}
+    at = {(r.k0, r.o0): r for r in rows}
+    for o, k in enumerate(keys):
+        if k in several:
+            r = at[k, o]
+            assert (r.h0, r.q0, r.copy) == (first[k], last.get(k), o != first[k])
+        last[k] = o

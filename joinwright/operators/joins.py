@@ -10,18 +10,27 @@ checked size; beyond it the join shuffles.
 
 from __future__ import annotations
 
+import math
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from joinwright.config import JoinConfig
-from joinwright.plans.advisor import advise
+from joinwright.plans.advisor import advise, size_of
 from joinwright.plans.spec import Clause, Spec, clauses, compare, fresh
 
 _HINTS = {"broadcast_hash": "broadcast", "shuffle_hash": "shuffle_hash", "merge": "merge", "broadcast_loop": "broadcast", "product": "shuffle_replicate_nl"}
 _MIRROR = {"<": ">", "<=": ">=", ">=": "<=", ">": "<"}
 
+#: Pairs of rows, by the advisor's estimate, that a nested loop compares one and all.
+LOOP_PAIRS = float(1 << 26)
+#: Rows of the smaller side in a block of the loop over more pairs; rows of one key share a block, however many.
+BLOCK_ROWS = 8
+_HASHED = (T.NumericType, T.BooleanType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 def join(left: DataFrame, right: DataFrame, on=(), how: str = "inner", strategy: str = "auto", residual: str | None = None, config: JoinConfig | None = None) -> DataFrame:
     """Joins by ``on``: names, (left, right) pairs or (left, op, right) triples with op of = <=> < <= >= > <>.
@@ -47,14 +56,25 @@ def _keys(df: DataFrame, expressions: list[str], taken: set[str]) -> tuple[DataF
 
 
 def _planned(left: DataFrame, right: DataFrame, spec: Spec, config: JoinConfig, strategy: str, names: tuple[str, str]) -> DataFrame:
-    advice = advise(left, right, spec, config, strategy)
+    blocks = _block_count(left, right, spec, config) if strategy == "nestloop" else 0
     # an expression is resolved on its own side, so its text is never rewritten
     taken = {*left.columns, *right.columns}
     (one, left_keys), (two, right_keys) = (_keys(df, [getattr(c, side) for c in spec.clauses], taken) for df, side in ((left, "left"), (right, "right")))
     added = one.columns != left.columns or two.columns != right.columns
+    block = fresh("__block", taken)
+    looped = _in_blocks(one, two, left_keys, right_keys, spec, blocks, block) if blocks else None
+    if looped:
+        # the loop runs inside the blocks, which meet by any equi-join
+        advice = advise(left, right, spec, replace(config, enable_nestloop=False))
+        one, two = looped
+        added = True
+    else:
+        advice = advise(left, right, spec, config, strategy)
     one, two = one.alias(names[0]), two.alias(names[1])
-    loop = advice.strategy in ("broadcast_loop", "product")
+    loop = looped is not None or advice.strategy in ("broadcast_loop", "product")
     terms = [compare(c.op, F.col(f"{names[0]}.`{a}`"), F.col(f"{names[1]}.`{b}`"), loop) for c, a, b in zip(spec.clauses, left_keys, right_keys, strict=True)]
+    if looped:
+        terms.insert(0, F.col(f"{names[0]}.`{block}`") == F.col(f"{names[1]}.`{block}`"))
     if spec.residual:
         terms.append(F.expr(spec.residual))
     if advice.strategy in _HINTS:
@@ -69,6 +89,46 @@ def _planned(left: DataFrame, right: DataFrame, spec: Spec, config: JoinConfig,
     return found.select(*(F.col(f"{n}.`{c}`") for n, df in sides for c in df.columns))
 
 
+def _block_count(left: DataFrame, right: DataFrame, spec: Spec, config: JoinConfig) -> int:
+    """Blocks for a nested loop over keys, 0 where every pair is compared."""
+    if not spec.keys or not config.enable or not config.enable_nestloop:
+        return 0
+    l, r = size_of(left).rows, size_of(right).rows
+    return 0 if l * r <= LOOP_PAIRS else math.ceil(min(l, r) / BLOCK_ROWS)
+
+
+def _in_blocks(one: DataFrame, two: DataFrame, left_keys: list[str], right_keys: list[str], spec: Spec, blocks: int, name: str) -> tuple[DataFrame, DataFrame] | None:
+    """Both sides with the block of their keys: rows whose keys are equal share one, a row that matches nothing has none.
+
+    None where no key has a type whose hash follows its comparison.
+    """
+    hashed = []
+    for c, a, b in zip(spec.clauses, left_keys, right_keys, strict=True):
+        if c.op in ("=", "<=>"):
+            kind = _compared_as(one, a, two, b)
+            if kind is not None:
+                hashed.append((c.op, a, b, kind))
+    if not hashed:
+        return None
+
+    def blocked(df, at):
+        # adding zero makes a negative zero, which equals zero, one
+        keys = [F.col(f"`{k[at]}`").cast(k[3]) + (F.lit(0).cast(k[3])) if k[3] in ("float", "double") else F.col(f"`{k[at]}`").cast(k[3]) for k in hashed]
+        block = F.pmod(F.xxhash64(*keys), F.lit(blocks))
+        known = [F.col(f"`{k[at]}`").isNotNull() for k in hashed if k[0] == "="]
+        return df.withColumn(name, F.when(reduce(lambda a, b: a & b, known), block) if known else block)
+
+    return blocked(one, 1), blocked(two, 2)
+
+
+def _compared_as(one: DataFrame, a: str, two: DataFrame, b: str) -> str | None:
+    """The type in which two columns are compared, if equal values of it have equal hashes."""
+    condition = one.select(F.col(f"`{a}`").alias("a")).join(two.select(F.col(f"`{b}`").alias("b")), F.col("a") == F.col("b"))._jdf.queryExecution().analyzed().condition().get()
+    kind = condition.left().dataType().simpleString()
+    same = one.select(F.col(f"`{a}`").cast(kind)).schema[0].dataType
+    return kind if isinstance(same, _HASHED) or kind == "string" else None
+
+
 def hash_join(left: DataFrame, right: DataFrame, on, how: str = "inner", **options) -> DataFrame:
     return join(left, right, on, how, "hash", **options)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joinwright.config import JoinConfig
-from joinwright.plans.advisor import advise, size_of
+from joinwright.plans.advisor import Advice, advise, size_of
 from joinwright.plans.spec import Clause, Spec, clauses, compare, fresh
 
 _HINTS = {"broadcast_hash": "broadcast", "shuffle_hash": "shuffle_hash", "merge": "merge", "broadcast_loop": "broadcast", "product": "shuffle_replicate_nl"}
@@ -29,14 +29,18 @@ _MIRROR = {"<": ">", "<=": ">=", ">=": "<=", ">": "<"}
 LOOP_PAIRS = float(1 << 26)
 #: Rows of the smaller side in a block of the loop over more pairs; rows of one key share a block, however many.
 BLOCK_ROWS = 8
+#: Pairs that a task makes at most, about, where a join is asked to mind its fan-out.
+TASK_PAIRS = 4 << 20
 _HASHED = (T.NumericType, T.BooleanType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def join(left: DataFrame, right: DataFrame, on=(), how: str = "inner", strategy: str = "auto", residual: str | None = None, config: JoinConfig | None = None) -> DataFrame:
+def join(left: DataFrame, right: DataFrame, on=(), how: str = "inner", strategy: str = "auto", residual: str | None = None, config: JoinConfig | None = None, fan_out: bool = False) -> DataFrame:
     """Joins by ``on``: names, (left, right) pairs or (left, op, right) triples with op of = <=> < <= >= > <>.
 
     ``strategy`` is auto, hash, merge or nestloop; ``residual`` is a predicate
-    over ``l.x`` and ``r.y``.
+    over ``l.x`` and ``r.y``.  With ``fan_out`` an inner join whose keys repeat on both
+    sides counts its pairs first (which reads both sides once more) and is cut into
+    tasks by them, as the sizes of its inputs tell nothing of its work.
     """
     if strategy not in ("auto", "hash", "merge", "nestloop"):
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -46,7 +50,7 @@ def join(left: DataFrame, right: DataFrame, on=(), how: str = "inner", strategy:
         # the right side is preserved, so the left one is the side to build from
         mirrored = tuple(Clause(c.right, _MIRROR.get(c.op, c.op), c.left) for c in given)
         return _planned(right, left, Spec(mirrored, residual, "left"), config, strategy, ("r", "l")).select("l.*", "r.*")
-    return _planned(left, right, Spec(given, residual, how), config, strategy, ("l", "r"))
+    return _planned(left, right, Spec(given, residual, how), config, strategy, ("l", "r"), fan_out and how == "inner")
 
 
 def _keys(df: DataFrame, expressions: list[str], taken: set[str]) -> tuple[DataFrame, list[str]]:
@@ -55,7 +59,7 @@ def _keys(df: DataFrame, expressions: list[str], taken: set[str]) -> tuple[DataF
     return df.select("*", *(F.expr(e).alias(n) for e, n in zip(expressions, names, strict=True) if e != n)), names
 
 
-def _planned(left: DataFrame, right: DataFrame, spec: Spec, config: JoinConfig, strategy: str, names: tuple[str, str]) -> DataFrame:
+def _planned(left: DataFrame, right: DataFrame, spec: Spec, config: JoinConfig, strategy: str, names: tuple[str, str], fan_out: bool = False) -> DataFrame:
     blocks = _block_count(left, right, spec, config) if strategy == "nestloop" else 0
     # an expression is resolved on its own side, so its text is never rewritten
     taken = {*left.columns, *right.columns}
@@ -70,11 +74,16 @@ def _planned(left: DataFrame, right: DataFrame, spec: Spec, config: JoinConfig,
         added = True
     else:
         advice = advise(left, right, spec, config, strategy)
+    met = [block] if looped else []
+    if fan_out and config.enable and advice.strategy in ("broadcast_hash", "shuffle_hash", "merge") and len(spec.keys) == len(spec.clauses):
+        salt = fresh("__salt", taken)
+        one, two, salted = _in_tasks(one, two, left_keys, right_keys, spec, advice, met, salt)
+        if salted:
+            met, added = [*met, salt], True
     one, two = one.alias(names[0]), two.alias(names[1])
     loop = looped is not None or advice.strategy in ("broadcast_loop", "product")
     terms = [compare(c.op, F.col(f"{names[0]}.`{a}`"), F.col(f"{names[1]}.`{b}`"), loop) for c, a, b in zip(spec.clauses, left_keys, right_keys, strict=True)]
-    if looped:
-        terms.insert(0, F.col(f"{names[0]}.`{block}`") == F.col(f"{names[1]}.`{block}`"))
+    terms += [F.col(f"{names[0]}.`{c}`") == F.col(f"{names[1]}.`{c}`") for c in met]
     if spec.residual:
         terms.append(F.expr(spec.residual))
     if advice.strategy in _HINTS:
@@ -121,6 +130,32 @@ def _in_blocks(one: DataFrame, two: DataFrame, left_keys: list[str], right_keys:
     return blocked(one, 1), blocked(two, 2)
 
 
+def _in_tasks(one: DataFrame, two: DataFrame, left_keys: list[str], right_keys: list[str], spec: Spec, advice: Advice, met: list[str], salt: str) -> tuple[DataFrame, DataFrame, bool]:
+    """Both sides laid out so that each task makes about ``TASK_PAIRS`` pairs, and whether ``salt`` is a further key.
+
+    Beside a broadcast the other side is dealt evenly.  In a shuffle the larger side's
+    rows of a key are split by their hash and the smaller side's repeated for each part.
+    """
+    counted = [df.groupBy(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys))).agg(F.count("*").alias(n)) for df, keys, n in ((one, left_keys, "m"), (two, right_keys, "w"))]
+    clauses = [Clause(f"k{i}", c.op, f"k{i}") for i, c in enumerate(spec.clauses)]
+    pairs = F.col("m") * F.col("w")
+    total, most = join(*counted, clauses).agg(F.sum(pairs), F.max(pairs)).first()
+    tasks = math.ceil((total or 0) / TASK_PAIRS)
+    if tasks <= 1:
+        return one, two, False
+    if advice.strategy == "broadcast_hash":
+        return (one, two.repartition(tasks), False) if advice.side == "left" else (one.repartition(tasks), two, False)
+    parts = math.ceil(most * 4 / TASK_PAIRS)
+    rows = [F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString())) for df in (one, two)]
+    dealt = [F.pmod(r, F.lit(parts)).cast("int").alias(salt) for r in rows]
+    again = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(salt)
+    large = size_of(one).rows >= size_of(two).rows
+    one, two = one.select("*", dealt[0] if large else again), two.select("*", again if large else dealt[1])
+    # a number of partitions that is asked for is not cut down again for the bytes being few
+    keys = [(met or k) + [salt] for k in (left_keys, right_keys)]
+    return one.repartition(tasks, *(F.col(f"`{k}`") for k in keys[0])), two.repartition(tasks, *(F.col(f"`{k}`") for k in keys[1])), True
+
+
 def _compared_as(one: DataFrame, a: str, two: DataFrame, b: str) -> str | None:
     """The type in which two columns are compared, if equal values of it have equal hashes."""
     condition = one.select(F.col(f"`{a}`").alias("a")).join(two.select(F.col(f"`{b}`").alias("b")), F.col("a") == F.col("b"))._jdf.queryExecution().analyzed().condition().get()

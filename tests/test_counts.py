@@ -5,6 +5,7 @@ import random
 import pytest
 from checks import same
 
+from joinwright.config import JoinConfig
 from joinwright.operators import counts, joins
 from joinwright.operators.counts import join_counts
 from joinwright.operators.joins import join
@@ -127,3 +128,19 @@ def test_blocks_keep_what_is_equal_together(spark, monkeypatch, how, op, a, b):
     no_pairs(monkeypatch)
     monkeypatch.setattr(joins, "BLOCK_ROWS", 1)
     assert rows() == want
+
+
+@pytest.mark.parametrize("strategy", ("auto", "hash", "merge", "nestloop"))
+def test_fan_out_is_cut_into_tasks(spark, sf, oracle, monkeypatch, strategy):
+    monkeypatch.setattr(joins, "TASK_PAIRS", 16)
+    if strategy in ("merge", "nestloop"):
+        no_pairs(monkeypatch)
+    found = catalogue.queries()["two_keys" + ("" if strategy == "auto" else f"_{strategy}")](spark, sf)
+    want = oracle(catalogue.oracle_sql()["two_keys"])
+    same(found, want)
+    assert found.rdd.getNumPartitions() >= len(want[1]) / 16
+    left = spark.createDataFrame([(1, i) for i in range(40)] * 2 + [(2, 0), (None, 1)], "k int, i int")
+    right = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 5), (None, 2)], "k int, j int")
+    tight = JoinConfig(broadcast_bytes=0)
+    cut = join(left, right, "k", strategy=strategy, config=tight, fan_out=True).select("i", "j")
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, left.join(right, "k").select("i", "j").collect()))

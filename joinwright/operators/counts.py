@@ -34,16 +34,23 @@ def join_counts(left: DataFrame, right: DataFrame, on, by, strategy: str = "auto
     config = config or JoinConfig.of(left.sparkSession)
     by, given = [by] if isinstance(by, str) else list(by), clauses(on)
     plain = [c for c in given if c.op in ("=", "<=>")]
-    ranged = [c for c in given if c.op in _ORDERED]
     if config.enable and given and len(plain) == len(given) and strategy != "nestloop":
         return _by_key(left, right, plain, by, strategy, name, config)
-    l, r = _columns(left, right, given, by)
-    fit = len(ranged) in (1, 2) and len(plain) + len(ranged) == len(given) and all(_comparable(l, r, i, c) for i, c in enumerate(given))
-    if config.enable and fit and size_of(left).rows * size_of(right).rows > LOOP_PAIRS:
-        return _by_order(l, r, given, by, name)
+    counted = counted_by_order(left, right, given, by, name) if config.enable else None
+    if counted is not None:
+        return counted
     return join(left, right, on, strategy=strategy, config=config).groupBy(*(F.col(f"l.`{b}`") for b in by)).agg(F.count("*").alias(name))
 
 
+def counted_by_order(left: DataFrame, right: DataFrame, given, by, name: str = "n") -> DataFrame | None:
+    """``join_counts`` in the order of the values; None where that does not apply or the pairs are few."""
+    plain, ranged = [c for c in given if c.op == "="], [c for c in given if c.op in _ORDERED]
+    if len(ranged) not in (1, 2) or len(plain) + len(ranged) < len(given) or size_of(left).rows * size_of(right).rows <= LOOP_PAIRS:
+        return None
+    l, r = _columns(left, right, given, by)
+    return _by_order(l, r, given, by, name) if all(_comparable(l, r, i, c) for i, c in enumerate(given)) else None
+
+
 def _by_key(left, right, given, by, strategy, name, config):
     taken = {*left.columns, *right.columns}
     (one, a), (two, b) = _keys(left, [c.left for c in given], taken), _keys(right, [c.right for c in given], taken)

@@ -11,6 +11,7 @@ from joinwright.operators.counts import join_counts
 from joinwright.operators.joins import join
 from joinwright.plans import catalogue
 from joinwright.plans.explain import executed_plan, join_operators
+from joinwright.plans.steer import advice_of, sql
 from joinwright.sources.tables import table
 
 OPS = {"=": lambda x, y: x == y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
@@ -144,3 +145,11 @@ def test_fan_out_is_cut_into_tasks(spark, sf, oracle, monkeypatch, strategy):
     tight = JoinConfig(broadcast_bytes=0)
     cut = join(left, right, "k", strategy=strategy, config=tight, fan_out=True).select("i", "j")
     assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, left.join(right, "k").select("i", "j").collect()))
+
+
+@pytest.mark.parametrize("text", ("select s_suppkey, count(*) n from {supplier} join {customer} on s_acctbal<c_acctbal and s_nationkey>c_nationkey group by s_suppkey", "select n + 1 m, c_nationkey from (select count(*) n, c_nationkey from {supplier} join {customer} on s_acctbal<=c_acctbal group by c_nationkey) where n > 1"))
+def test_plain_sql_is_counted_in_order(spark, sf, oracle, monkeypatch, text):
+    no_pairs(monkeypatch)
+    found = sql(spark, text, supplier=table(spark, sf, "supplier"), customer=table(spark, sf, "customer"))
+    assert "order" in [a.strategy for a in advice_of(found)]
+    same(found, oracle(text.replace("{", "").replace("}", "")))

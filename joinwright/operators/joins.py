@@ -29,6 +29,8 @@ _MIRROR = {"<": ">", "<=": ">=", ">=": "<=", ">": "<"}
 LOOP_PAIRS = float(1 << 26)
 #: Rows of the smaller side in a block of the loop over more pairs; rows of one key share a block, however many.
 BLOCK_ROWS = 8
+#: Blocks at least: an empty one costs nothing, while blocks too few, for an estimate too low, compare rows of other keys.
+BLOCKS = 1 << 31
 #: Pairs that a task makes at most, about, where a join is asked to mind its fan-out.
 TASK_PAIRS = 4 << 20
 _HASHED = (T.NumericType, T.BooleanType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -103,7 +105,7 @@ def _block_count(left: DataFrame, right: DataFrame, spec: Spec, config: JoinConf
     if not spec.keys or not config.enable or not config.enable_nestloop:
         return 0
     l, r = size_of(left).rows, size_of(right).rows
-    return 0 if l * r <= LOOP_PAIRS else math.ceil(min(l, r) / BLOCK_ROWS)
+    return 0 if l * r <= LOOP_PAIRS else max(BLOCKS, math.ceil(min(l, r) / BLOCK_ROWS))
 
 
 def _in_blocks(one: DataFrame, two: DataFrame, left_keys: list[str], right_keys: list[str], spec: Spec, blocks: int, name: str) -> tuple[DataFrame, DataFrame] | None:

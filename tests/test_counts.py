@@ -4,13 +4,16 @@ import random
 
 import pytest
 from checks import same
+from pyspark.sql import functions as F
 
 from joinwright.config import JoinConfig
 from joinwright.operators import counts, joins
 from joinwright.operators.counts import join_counts
 from joinwright.operators.joins import join
 from joinwright.plans import catalogue
+from joinwright.plans.advisor import size_of
 from joinwright.plans.explain import executed_plan, join_operators
+from joinwright.plans.spec import Spec, clauses
 from joinwright.plans.steer import advice_of, sql
 from joinwright.sources.tables import table
 
@@ -153,3 +156,24 @@ def test_plain_sql_is_counted_in_order(spark, sf, oracle, monkeypatch, text):
     found = sql(spark, text, supplier=table(spark, sf, "supplier"), customer=table(spark, sf, "customer"))
     assert "order" in [a.strategy for a in advice_of(found)]
     same(found, oracle(text.replace("{", "").replace("}", "")))
+
+
+def thin_file(spark, path, rows, first=0):
+    """A file that holds many more rows than its bytes tell: all columns but the key are constant."""
+    names = [f"c{i}" for i in range(20)]
+    spark.range(first, first + rows, 1, 1).selectExpr("id k", *(f"'same' {n}" for n in names)).write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def test_blocks_hold_few_rows_where_a_file_holds_more_than_estimated(spark, tmp_path, monkeypatch):
+    no_pairs(monkeypatch)
+    rows = 200_000
+    l, r = thin_file(spark, tmp_path / "l", rows), thin_file(spark, tmp_path / "r", rows, rows // 2)
+    assert size_of(r).rows * 4 < rows
+    spec = Spec(clauses("k"))
+    one, two = joins._in_blocks(l, r, ["k"], ["k"], spec, joins._block_count(l, r, spec, JoinConfig()), "__block")
+    met = join(*(df.groupBy("__block").agg(F.count("*").alias("n")) for df in (one, two)), "__block", strategy="merge")
+    compared = met.agg(F.sum(F.col("l.n") * F.col("r.n"))).first()[0]
+    # the right rows share 100,000 keys with the left ones: these pairs, and 8 rows a row at most
+    assert rows // 2 <= compared <= 8 * rows
+    assert join(l, r, "k", strategy="nestloop").count() == rows // 2

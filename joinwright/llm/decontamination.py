@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinwright.llm.storage import checkpoint, hold, release
-from joinwright.llm.textcore import Words, byte_texts, mix, passes, signed, window_hashes
+from joinwright.llm.textcore import Words, mix, signed, text_passes, window_hashes
+from joinwright.llm.worker import tidy
 
 WINDOW = 8
 MIN_PLAIN = 4
@@ -168,10 +169,9 @@ def _windows(texts: DataFrame, lengths: list[int] | None, bitmap: np.ndarray | N
     def run(batches):
         bits = None if shared is None else shared.value
         for batch in batches:
-            rows = byte_texts(batch.column(2))
             ids, prints = batch.column(0), batch.column(1)
-            for a, b in passes(rows):
-                template = Template([t or b"" for t in rows[a:b]])
+            for a, _, rows in text_passes(batch.column(2)):
+                template = Template([t or b"" for t in rows])
                 sizes = np.diff(template.first)
                 owner, win, ks, ats, lows, highs, slots = [], [], [], [], [], [], []
                 for k in lengths or [*range(-WINDOW, 0), *range(MIN_PLAIN, WINDOW + 1)]:
@@ -206,7 +206,7 @@ def _windows(texts: DataFrame, lengths: list[int] | None, bitmap: np.ndarray | N
                     names=["id", "print", "window", "k", "at", "low", "high", "n_tokens", "slots"],
                 )
 
-    return texts.mapInArrow(run, SCHEMA)
+    return texts.mapInArrow(tidy(run), SCHEMA)
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

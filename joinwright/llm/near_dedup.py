@@ -47,6 +47,7 @@ from joinwright.llm.runs import sorted_runs
 from joinwright.llm.sieve import Sieve
 from joinwright.llm.storage import checkpoint, few_files, hold, release
 from joinwright.llm.textcore import ASCII_LOWER, IDENTITY, Words, mix, passes, signed, text_passes, window_hashes
+from joinwright.llm.worker import tidy
 
 ROWS = 4
 BINS = 1024
@@ -190,7 +191,7 @@ def _signatures(docs: DataFrame, size: int, fold_case: bool, signer: Signer) ->
                     names=["doc_id", "n_shingles", "set_lo", "set_hi", "bands", "sketch", "samples"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_lo bigint, set_hi bigint, bands array<bigint>, sketch binary, samples int")
+    return docs.mapInArrow(tidy(run), "doc_id bigint, n_shingles bigint, set_lo bigint, set_hi bigint, bands array<bigint>, sketch binary, samples int")
 
 
 def _sets(docs: DataFrame, size: int, fold_case: bool) -> DataFrame:
@@ -202,7 +203,7 @@ def _sets(docs: DataFrame, size: int, fold_case: bool) -> DataFrame:
                 sets = [signed(x) for x in shingle_sets(texts, size, fold_case)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, shingles array<bigint>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -271,7 +272,7 @@ def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield _compared(rest, threshold)
 
-    found = dealt.repartition(*key).sortWithinPartitions(*key, "own").mapInArrow(run, "a bigint, b bigint")
+    found = dealt.repartition(*key).sortWithinPartitions(*key, "own").mapInArrow(tidy(run), "a bigint, b bigint")
     return found.distinct()
 
 

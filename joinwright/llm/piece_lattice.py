@@ -26,18 +26,19 @@ text, with the space mark itself read as a space, as the library does.
 
 from __future__ import annotations
 
-import functools
 import heapq
 from array import array
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinwright.llm.textcore import mix
 from joinwright.llm.vocabulary import MARK, Memo, balanced, model_path, processor
+from joinwright.llm.worker import cached, tidy
 
 N_BEST = 4
 #: Characters segmented together: larger runs share more words, smaller ones need less memory.
@@ -446,7 +447,7 @@ class Encoder:
         return scores, paths
 
 
-@functools.lru_cache(maxsize=4)
+@cached
 def encoder(path: str, n: int = N_BEST) -> Encoder:
     return Encoder(Pieces.load(path), n)
 
@@ -467,12 +468,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         coder = encoder(path, n)
         decode = coder.pieces.decode
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in balanced((len(t) if t else 0 for t in texts), BATCH_CHARS):
-                flat, lengths, scores, paths = coder.encode(texts[a:b])
+            sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+            for a, b in balanced(sizes, BATCH_CHARS):
+                # only one run's texts are held at a time
+                texts = batch.column(1).slice(a, b - a).to_pylist()
+                flat, lengths, scores, paths = coder.encode(texts)
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 numbers = flat.tolist()
-                same = [decode(numbers[i:j]) == (t or "").encode() for i, j, t in zip(offsets[:-1], offsets[1:], texts[a:b], strict=True)]
+                same = [decode(numbers[i:j]) == (t or "").encode() for i, j, t in zip(offsets[:-1], offsets[1:], texts, strict=True)]
                 every = [x for mine in paths for x in mine]
                 inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, every)]).astype(np.int32)), pa.array(np.concatenate(every) if every else np.zeros(0, np.int32)))
                 outer = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, paths)]).astype(np.int32)), inner)
@@ -481,7 +484,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                     names=["doc_id", "ids", "scores", "n_best", "round_trip"],
                 )
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run, "encoder"), SCHEMA)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -494,7 +497,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
             texts = [None if ids is None else pieces.decode(ids).decode(errors="replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(tidy(run, "encoder"), "doc_id bigint, text string")
 
 
 def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

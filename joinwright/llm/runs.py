@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinwright.llm.storage import checkpoint, few_files
+from joinwright.llm.worker import tidy
 
 KEYS, ORDER, HEAD = ("k0", "k1", "k2"), ("o0", "o1", "o2"), ("h0", "h1", "h2")
 COLUMNS = [*KEYS, *ORDER, "payload"]
+_EDGES = pa.schema([("part", pa.int32()), *((c, pa.int64()) for c in ("c0", "c1", "c2", "l0")), ("first_varied", pa.bool_()), ("last_varied", pa.bool_())])
 
 
 class _Partition:
@@ -106,10 +108,12 @@ def sorted_runs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     schema = ", ".join(f"{c} bigint" for c in (*COLUMNS, *HEAD, "q0")) + ", fresh boolean, varied boolean, opens boolean, ends boolean, part int"
     order = [*KEYS, *ORDER]
     dealt = df.select(*COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    table = checkpoint(dealt.mapInArrow(_compare, schema).coalesce(few_files(df.sparkSession)))
+    table = checkpoint(dealt.mapInArrow(tidy(_compare), schema).coalesce(few_files(df.sparkSession)))
     facts = table.where("(opens AND fresh) OR ends").groupBy("part").agg(F.min(F.struct(*order)), F.max(F.struct(*order, *HEAD)))
     rows = _settled(sorted(tuple(r) for r in facts.collect()))  # a row for each partition
-    edges = df.sparkSession.createDataFrame(rows, "part int, c0 bigint, c1 bigint, c2 bigint, l0 bigint, first_varied boolean, last_varied boolean")
+    # a list of rows would start Python workers of another kind, which stay beside those of mapInArrow
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(_EDGES)
+    edges = df.sparkSession.createDataFrame(pa.table([pa.array(x, f.type) for x, f in zip(columns, _EDGES, strict=True)], _EDGES))
     carried = F.col("opens") & F.col("c0").isNotNull()
     head = [F.when(carried, F.col(f"c{i}")).otherwise(F.col(h)).alias(h) for i, h in enumerate(HEAD)]
     varied = F.col("varied") | (F.col("opens") & F.col("fresh") & F.col("first_varied")) | (F.col("ends") & F.col("last_varied"))

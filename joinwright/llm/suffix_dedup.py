@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from joinwright.llm.runs import HEAD, sorted_runs
 from joinwright.llm.storage import checkpoint, few_files, hold, release
 from joinwright.llm.textcore import WHITESPACE, Words, signed, text_passes, window_hashes
+from joinwright.llm.worker import tidy
 
 MIN_WORDS = 50
 GRAM = 16
@@ -113,7 +114,7 @@ def _retained(docs: DataFrame, min_words: int) -> DataFrame:
                 rows = pa.array(text + a)
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(one), pa.array(two), ids.take(rows), prints.take(rows), pa.array(lo), pa.array(n)], names=_NAMES)
 
-    return docs.select("doc_id", "print", "text").mapInArrow(run, RUNS_SCHEMA)
+    return docs.select("doc_id", "print", "text").mapInArrow(tidy(run), RUNS_SCHEMA)
 
 
 def _windows(docs: DataFrame, min_words: int) -> DataFrame:
@@ -135,7 +136,7 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
                 take = pa.array(rows[each] + a)
                 yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.zeros(len(at), np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(at), pa.array(lo[each])], names=_NAMES)
 
-    return docs.select("doc_id", "print", "text", "parts").mapInArrow(run, RUNS_SCHEMA)
+    return docs.select("doc_id", "print", "text", "parts").mapInArrow(tidy(run), RUNS_SCHEMA)
 
 
 def _united(spans: DataFrame) -> DataFrame:

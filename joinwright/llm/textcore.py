@@ -172,6 +172,8 @@ def annotate(df, text_col: str, fn, fields: list[tuple[str, str]], into: str):
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    from joinwright.llm.worker import tidy
+
     df = df.drop(into)
     sizes = T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in fields))
     out = T.StructType([*df.schema.fields, T.StructField(into, sizes)])
@@ -186,4 +188,4 @@ def annotate(df, text_col: str, fn, fields: list[tuple[str, str]], into: str):
                 struct = pa.StructArray.from_arrays(arrays, fields=list(inner))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, struct], names=[*columns, into])
 
-    return df.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, out)
+    return df.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(tidy(run), out)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinwright.llm.vocabulary import MARK, balanced, model_path, processor
+from joinwright.llm.worker import tidy
 
 LIMIT = 4096
 #: Bytes of text that go to the library in one call.
@@ -76,7 +77,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.octet_length(text).cast("bigint").alias("n_bytes"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(tidy(run, "processor"), "doc_id bigint, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,11 @@ vocabulary for this when it is loaded.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable, Iterator
 
+from joinwright.llm.worker import cached
+
 MARK = "▁"
 #: Parts of a text that starts with a space: spaces with the word after them.
 PART = re.compile(" +[^ ]*")
@@ -25,7 +26,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-@functools.lru_cache(maxsize=4)
+@cached
 def processor(path: str):
     import sentencepiece
 
